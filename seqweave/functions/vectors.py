@@ -27,6 +27,14 @@ def vector_literal(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate `value` once per row and hand it to `body`.
+
+    Inside a lambda an outer expression would be evaluated again for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def total(vec: str | Column) -> Column:
     return F.aggregate(as_double(vec), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -51,15 +59,18 @@ def zeros(dim: int) -> Column:
 def l2_normalize(vec: str | Column, eps: float = C.L2_EPSILON) -> Column:
     """`v / (|v| + eps)`."""
     norm = F.sqrt(F.aggregate(as_double(vec), F.lit(0.0), lambda acc, v: acc + v * v)) + F.lit(eps)
-    return F.transform(as_double(vec), lambda v: v / norm)
+    return bind(norm, lambda n: F.transform(as_double(vec), lambda v: v / n))
 
 
 def log_softmax(vec: str | Column) -> Column:
     """`v - max - log(sum(exp(v - max)))`."""
     x = as_double(vec)
-    peak = F.array_max(x)
-    log_norm = F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - peak)))
-    return F.transform(x, lambda v: v - peak - log_norm)
+
+    def shifted(peak: Column) -> Column:
+        norm = F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - peak)))
+        return bind(peak + norm, lambda shift: F.transform(x, lambda v: v - shift))
+
+    return bind(F.array_max(x), shifted)
 
 
 def relu(vec: str | Column) -> Column:

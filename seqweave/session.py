@@ -53,13 +53,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once to reliable storage and continue from there.
+    """Write `df` once as a table in the shared folder and continue from there.
 
-    Used where a value must be computed exactly once (positions in a sorted table) and between rounds
-    of iterative operators.
+    Used where a value must be computed exactly once (positions in a sorted table) and between rounds of
+    iterative operators. The result is an ordinary Parquet scan: lost executors re-read files, later steps
+    prune columns, and the optimizer starts from a leaf (a checkpointed plan would drag its inferred
+    constraints from round to round until planning dominates).
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, target: int | None = None) -> DataFrame:
