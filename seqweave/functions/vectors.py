@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from seqweave import constants as C
 
-# Above this many multiply-adds a dense transform goes to Arrow batches instead of generated code.
-UNROLL_LIMIT = 600
+# Above this many multiply-adds per row a dense transform runs as a matrix product on Arrow batches.
+EXPRESSION_LIMIT = 1024
 
 
 def _col(c: str | Column) -> Column:
@@ -93,31 +93,27 @@ def argmax(vec: str | Column) -> Column:
 def linear(vec: str | Column, weight: Sequence[Sequence[float]], bias: Sequence[float] | None = None) -> Column:
     """Dense transform `W x + b`; `weight` has one row per output dimension.
 
-    Small matrices unroll to plain arithmetic inside generated code; larger ones run as one matrix
-    product per Arrow batch. The matrix is a model parameter (its size does not depend on the data).
+    Small matrices are a constant array inside a JVM expression; larger ones run as one matrix product per
+    Arrow batch. The matrix is a model parameter (its size does not depend on the data).
     """
     w = np.asarray(weight, dtype=np.float64)
     b = np.zeros(w.shape[0]) if bias is None else np.asarray(bias, dtype=np.float64)
-    if w.size <= UNROLL_LIMIT:
-        x = as_double(vec)
-        outputs = []
-        for j in range(w.shape[0]):
-            acc = F.lit(float(b[j]))
-            for i in range(w.shape[1]):
-                if w[j, i] != 0.0:
-                    acc = acc + x[i] * F.lit(float(w[j, i]))
-            outputs.append(acc)
-        return F.array(*outputs)
+    if w.size <= EXPRESSION_LIMIT:
+        rows = F.array(*[vector_literal(row) for row in w])
+        offsets = vector_literal(b)
+        return bind(
+            as_double(vec),
+            lambda x: F.when(
+                x.isNotNull(), F.transform(rows, lambda row, j: F.get(offsets, j) + dot(row, x))
+            ),
+        )
 
     @F.pandas_udf("array<double>")
     def dense(batch: pd.Series) -> pd.Series:
-        if len(batch) == 0:
-            return pd.Series([], dtype=object)
         present = batch.notna().to_numpy()
-        out = np.full(len(batch), None, dtype=object)
-        if present.any():
-            result = np.stack(batch[present].to_numpy()).astype(np.float64) @ w.T + b
-            out[present] = list(result)
-        return pd.Series(out)
+        if not present.any():
+            return pd.Series([None] * len(batch), dtype=object)
+        result = iter(np.stack(batch[present].to_numpy()).astype(np.float64) @ w.T + b)
+        return pd.Series([next(result) if p else None for p in present])
 
     return dense(as_double(vec))

@@ -119,7 +119,7 @@ GATES = ("c_in", "c_out", "c_dir", "c_und", "c_all")
 
 def _path_linear(layer: DirectedLayer) -> Column:
     """Transform of a per-(node, path) aggregate with the matrix of its path."""
-    if layer.w_in.size <= V.UNROLL_LIMIT:
+    if layer.w_in.size <= V.EXPRESSION_LIMIT:
         (w1, b1), (w2, b2), (w3, b3) = (layer.path(p) for p in PATHS)
         return (
             F.when(F.col("path") == "in", V.linear("vec", w1, b1))
@@ -130,11 +130,12 @@ def _path_linear(layer: DirectedLayer) -> Column:
 
     @F.pandas_udf("array<double>")
     def dense(path: pd.Series, vec: pd.Series) -> pd.Series:
-        out = np.full(len(vec), None, dtype=object)
+        out = [None] * len(vec)
         for name, (w, b) in table.items():
             rows = np.flatnonzero((path == name).to_numpy())
             if len(rows):
-                out[rows] = list(np.stack(vec.iloc[rows].to_numpy()) @ w.T + b)
+                for at, y in zip(rows, np.stack(vec.iloc[rows].to_numpy()) @ w.T + b):
+                    out[at] = y
         return pd.Series(out)
 
     return dense("path", "vec")
