@@ -293,8 +293,7 @@ def wilcoxon_signed_rank(paired: DataFrame, a: str = "a", b: str = "b", by: Sequ
             F.when(F.col("_cum") <= exact_up_to, F.struct((F.col("_mid") * 2).cast("int").alias("r"), F.col("_c").cast("int").alias("c")))
         ).alias("_ranks"),
     )
-    groups = paired.select(*by).distinct() if by else paired.agg(F.lit(1).alias("_one")).select()
-    whole = groups.join(sums, list(by), "left") if by else sums
+    whole = paired.select(*by).distinct().join(sums, list(by), "left") if by else sums
     w = F.least("_plus", "_minus")
     small = F.col("n") <= exact_up_to
     one = F.array(F.lit(1.0))
@@ -318,10 +317,14 @@ def wilcoxon_signed_rank(paired: DataFrame, a: str = "a", b: str = "b", by: Sequ
     )
 
 
-@F.pandas_udf("double")
-def _two_sided_normal(z: pd.Series) -> pd.Series:
+def _two_sided_normal(z: Column) -> Column:
     """Spark has no error function; one value per compared model goes through here."""
-    return z.map(lambda v: math.erfc(v / math.sqrt(2.0)) if pd.notna(v) else None)
+
+    @F.pandas_udf("double")
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: math.erfc(v / math.sqrt(2.0)) if pd.notna(v) else None)
+
+    return tail(z)
 
 
 def pearson(paired: DataFrame, a: str = "a", b: str = "b", by: Sequence[str] = ()) -> DataFrame:
