@@ -74,6 +74,11 @@ def gram_array(text: str | Column, width: int) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
 
 
+def window_array(text: str | Column, width: int) -> Column:
+    """As `gram_array`, but one window per character: the last ones are cut short by the end of the text."""
+    return F.regexp_extract_all(_col(text), F.lit(f"(?s)(?=(.{{1,{width}}}))."), F.lit(1))
+
+
 def overlapping_chunks(text: str | Column, step: int, overlap: int) -> Column:
     """Cut text into pieces that advance by `step` and carry `overlap` extra characters, in one scan."""
     return F.regexp_extract_all(

@@ -5,14 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweave import constants as C
 from seqweave.functions import vectors as V
 from seqweave.functions.seeded import seeded_normal
-from seqweave.operators.vector_agg import aggregate_vectors, lookup_join, vector_dim, zero_rows
+from seqweave.operators.vector_agg import aggregate_vectors, lookup_join, vector_dim
 from seqweave.session import materialise
 
 Matrix = np.ndarray
@@ -115,74 +114,76 @@ class DirectedLayer:
 
 PATHS = ("in", "out", "und")
 GATES = ("c_in", "c_out", "c_dir", "c_und", "c_all")
+_JOINT_WIDTH = 96  # path sums of one node computed side by side up to this many numbers
+
+
+def _transform_then_gather(matrices: DataFrame, x: DataFrame, layer: DirectedLayer) -> DataFrame:
+    """`(id, in, out, und)`: transform once per node and send the narrower vectors over the edges."""
+    d = layer.dim_out
+    stacked = np.vstack([layer.path(p)[0] for p in PATHS])
+    z = x.select(F.col("id").alias("src"), V.linear("vec", stacked).alias("_z"))
+    sent = lookup_join(matrices, z, "src")
+    if 3 * d <= _JOINT_WIDTH:
+        def path_sum(k: int, p: str) -> Column:
+            cells = [F.sum(F.col(f"w_{p}") * F.col("_z")[k * d + i]) for i in range(d)]
+            return F.array(*cells).alias(p)
+
+        return sent.groupBy(F.col("dst").alias("id")).agg(*[path_sum(k, p) for k, p in enumerate(PATHS)])
+    blocks = F.array(
+        *[
+            F.struct(F.lit(p).alias("path"), F.col(f"w_{p}").alias("w"), F.slice("_z", k * d + 1, d).alias("vec"))
+            for k, p in enumerate(PATHS)
+        ]
+    )
+    long = sent.select(F.col("dst").alias("id"), F.inline(blocks))
+    return _pivot_paths(aggregate_vectors(long, ["path", "id"], "vec", d, "sum", "w"))
 
 
-def _path_linear(layer: DirectedLayer) -> Column:
-    """Transform of a per-(node, path) aggregate with the matrix of its path."""
-    if layer.w_in.size <= V.EXPRESSION_LIMIT:
-        (w1, b1), (w2, b2), (w3, b3) = (layer.path(p) for p in PATHS)
-        return (
-            F.when(F.col("path") == "in", V.linear("vec", w1, b1))
-            .when(F.col("path") == "out", V.linear("vec", w2, b2))
-            .otherwise(V.linear("vec", w3, b3))
-        )
-    table = {p: layer.path(p) for p in PATHS}
+def _gather_then_transform(matrices: DataFrame, x: DataFrame, layer: DirectedLayer) -> DataFrame:
+    """`(id, in, out, und)`: sum raw vectors per path and transform the sums."""
+    source = x.select(F.col("id").alias("src"), V.as_double("vec").alias("vec"))
+    weights = F.array(*[F.struct(F.lit(p).alias("path"), F.col(f"w_{p}").alias("w")) for p in PATHS])
+    long = lookup_join(matrices, source, "src").select(F.col("dst").alias("id"), "vec", F.inline(weights))
+    summed = _pivot_paths(aggregate_vectors(long, ["path", "id"], "vec", layer.dim_in, "sum", "w"))
+    return summed.select("id", *[V.linear(p, layer.path(p)[0]).alias(p) for p in PATHS])
 
-    @F.pandas_udf("array<double>")
-    def dense(path: pd.Series, vec: pd.Series) -> pd.Series:
-        out = [None] * len(vec)
-        for name, (w, b) in table.items():
-            rows = np.flatnonzero((path == name).to_numpy())
-            if len(rows):
-                for at, y in zip(rows, np.stack(vec.iloc[rows].to_numpy()) @ w.T + b):
-                    out[at] = y
-        return pd.Series(out)
 
-    return dense("path", "vec")
+def _pivot_paths(long: DataFrame) -> DataFrame:
+    """Three rows per node to one."""
+    return long.groupBy("id").agg(*[F.max(F.when(F.col("path") == p, F.col("vec"))).alias(p) for p in PATHS])
 
 
 def directed_layer(
-    matrices: DataFrame, nodes: DataFrame, x: DataFrame, layer: DirectedLayer, gates: DataFrame | None = None
+    matrices: DataFrame, x: DataFrame, layer: DirectedLayer, gates: DataFrame | None = None
 ) -> DataFrame:
     """One gated layer over the in, out and undirected matrices.
 
-    `matrices` is `(path, src, dst, w)`. Per node: `c_all (c_und U + c_dir (c_in I + c_out O)) + constant`,
-    where I, O, U are aggregate-then-transform results of the three paths. All paths share one join with
-    the features and one aggregation; everything after it has three rows per node. `gates` is
-    `(id, c_in, c_out, c_dir, c_und, c_all[, constant])`; without it all gates are 1.
+    `matrices` is `(src, dst, w_out, w_in, w_und)` with every node on its diagonal. Per node:
+    `c_all (c_und U + c_dir (c_in I + c_out O)) + constant`. Transform and aggregation commute, so the
+    narrower of the two widths travels over the edges; all paths share one join and one aggregation.
+    `gates` is `(id, c_in, c_out, c_dir, c_und, c_all[, constant])`; without it all gates are 1.
     """
-    dim = layer.dim_in
-    sent = lookup_join(
-        matrices.select("path", "src", "dst", "w"),
-        x.select(F.col("id").alias("src"), V.as_double("vec").alias("vec")),
-        "src",
-    ).select("path", F.col("dst").alias("id"), "vec", "w")
-    silent = zero_rows(nodes, "id", "vec", dim).select(
-        F.explode(F.array(*[F.lit(p) for p in PATHS])).alias("path"), "id", "vec", F.lit(0.0).alias("w")
-    )
-    gathered = aggregate_vectors(sent.unionByName(silent), ["path", "id"], "vec", dim, "sum", "w")
-    moved = gathered.select("id", "path", _path_linear(layer).alias("vec"))
-    gate_cols = {g: F.lit(1.0) for g in GATES}
+    gather = _transform_then_gather if layer.dim_out <= layer.dim_in else _gather_then_transform
+    sums = gather(matrices.select("src", "dst", "w_out", "w_in", "w_und"), x, layer)
+    gate = {g: F.lit(1.0) for g in GATES}
     constant = None
     if gates is not None:
-        moved = moved.join(gates, "id")
-        gate_cols = {g: F.col(g).cast("double") for g in GATES}
+        sums = sums.join(gates, "id")
+        gate = {g: F.col(g).cast("double") for g in GATES}
         constant = "constant" if "constant" in gates.columns else None
-    directed = gate_cols["c_all"] * gate_cols["c_dir"]
-    gate = (
-        F.when(F.col("path") == "in", directed * gate_cols["c_in"])
-        .when(F.col("path") == "out", directed * gate_cols["c_out"])
-        .otherwise(gate_cols["c_all"] * gate_cols["c_und"])
-    )
-    gated = moved.withColumn("_gate", gate)
-    kept = {"constant": F.first("constant")} if constant else None
-    mixed = aggregate_vectors(gated, ["id"], "vec", layer.dim_out, "sum", "_gate", extra=kept)
-    return mixed.select("id", V.add("vec", "constant").alias("vec")) if constant else mixed
+    directed = gate["c_all"] * gate["c_dir"]
+    factor = {"in": directed * gate["c_in"], "out": directed * gate["c_out"], "und": gate["c_all"] * gate["c_und"]}
+
+    def gated(p: str) -> Column:
+        bias = V.vector_literal(layer.path(p)[1])
+        return V.bind(factor[p], lambda g: V.scale(V.add(p, bias), g))
+
+    out = V.add(V.add(gated("in"), gated("out")), gated("und"))
+    return sums.select("id", (V.add(out, constant) if constant else out).alias("vec"))
 
 
 def directed_stack(
     matrices: DataFrame,
-    nodes: DataFrame,
     x: DataFrame,
     layers: list[DirectedLayer],
     gates: list[DataFrame | None] | None = None,
@@ -191,7 +192,7 @@ def directed_stack(
     h = x.select("id", V.as_double("vec").alias("vec"))
     for i, layer in enumerate(layers):
         gate = gates[i] if gates else None
-        out = directed_layer(matrices, nodes, h, layer, gate).withColumnRenamed("vec", "_out")
+        out = directed_layer(matrices, h, layer, gate).withColumnRenamed("vec", "_out")
         residual = (
             V.linear("vec", layer.w_residual, layer.bias_residual)
             if layer.w_residual is not None
@@ -206,14 +207,13 @@ def directed_stack(
 
 def embed_nodes(
     matrices: DataFrame,
-    nodes: DataFrame,
     x: DataFrame,
     layers: list[DirectedLayer],
     gates: list[DataFrame | None] | None = None,
     eps: float = C.L2_EPSILON,
 ) -> DataFrame:
     """Node embeddings: the layer stack followed by L2 normalisation."""
-    stacked = directed_stack(matrices, nodes, x, layers, gates)
+    stacked = directed_stack(matrices, x, layers, gates)
     return stacked.select("id", V.l2_normalize("vec", eps).alias("vec"))
 
 
@@ -225,15 +225,6 @@ def class_scores(
     return hidden.select("id", V.log_softmax(V.linear("vec", w2, b2)).alias("vec"))
 
 
-def layer_matrices(edges: DataFrame, nodes: DataFrame, eps: float = C.PROPAGATION_EPSILON) -> DataFrame:
-    """`(path, src, dst, w)`: both propagation matrices and the normalised undirected one."""
-    from seqweave.operators import graph
-
-    pair = graph.propagation_pair(edges, nodes, eps).withColumnRenamed("matrix", "path")
-    und = graph.sym_normalize(edges, nodes).withColumn("path", F.lit("und"))
-    return pair.unionByName(und).select("path", "src", "dst", "w")
-
-
 def train_node_classifier(
     edges: DataFrame,
     nodes: DataFrame,

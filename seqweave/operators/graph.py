@@ -64,9 +64,22 @@ def degree(edges: DataFrame, end: str = "dst") -> DataFrame:
 
 
 def sym_normalize(edges: DataFrame, nodes: DataFrame, dedupe: bool = False) -> DataFrame:
-    """Symmetric degree normalisation of the unweighted, undirected graph with self-loops."""
-    looped = add_self_loops(to_undirected(edges), nodes, dedupe)
-    return normalize_entries(looped.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    """Symmetric degree normalisation of the unweighted, undirected graph with self-loops.
+
+    Mirroring, de-duplication and loops are one aggregation: an entry is worth 1 for being an edge in
+    either direction plus 1 for its self-loop (1 in total when `dedupe`).
+    """
+    ends = F.array(
+        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
+        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")),
+    )
+    linked = edges.select(F.inline(ends)).select("src", "dst", F.lit(1).alias("_edge"), F.lit(0).alias("_loop"))
+    loops = nodes.select(
+        F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("_edge"), F.lit(1).alias("_loop")
+    )
+    worth = F.greatest(F.max("_edge"), F.max("_loop")) if dedupe else F.max("_edge") + F.max("_loop")
+    entries = linked.unionByName(loops).groupBy("src", "dst").agg(worth.cast("double").alias("w"))
+    return normalize_entries(entries)
 
 
 def normalize_entries(entries: DataFrame) -> DataFrame:
@@ -107,18 +120,100 @@ def identity_entries(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
 
 
+def _mirrored(edges: DataFrame, nodes: DataFrame, values: dict[str, object]) -> DataFrame:
+    """Mirror per-edge values and add the diagonal in one aggregation.
+
+    Gives per (src, dst): the sum of each value over both directions, `_edge` = 1 where an edge exists in
+    either direction, `_loop` = 1 on the diagonal.
+    """
+    kept = [F.col(v) for v in values]
+    places = F.array(
+        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst"), *kept),
+        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), *kept),
+    )
+    valued = edges.select("src", "dst", *[c.alias(v) for v, c in values.items()])
+    linked = valued.select(F.inline(places)).withColumn("_edge", F.lit(1)).withColumn("_loop", F.lit(0))
+    loops = nodes.select(
+        F.col("id").alias("src"),
+        F.col("id").alias("dst"),
+        *[F.lit(0.0).alias(v) for v in values],
+        F.lit(0).alias("_edge"),
+        F.lit(1).alias("_loop"),
+    )
+    return linked.unionByName(loops).groupBy("src", "dst").agg(
+        *[F.sum(v).alias(v) for v in values], F.max("_edge").alias("_edge"), F.max("_loop").alias("_loop")
+    )
+
+
+def _with_sums(edges: DataFrame, *ends: str) -> DataFrame:
+    """Add `_sum_src` / `_sum_dst`: weight totals of the edge's row and column."""
+    out = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
+    for end in ends:
+        sums = edges.groupBy(end).agg(F.sum(F.col("w").cast("double")).alias(f"_sum_{end}"))
+        out = out.join(sums, end)
+    return out
+
+
+def _half_square(end: str):
+    share = F.coalesce(F.try_divide(F.col("w"), F.col(f"_sum_{end}")), F.lit(0.0))
+    return share * share * F.lit(0.5)
+
+
+def _propagation_value(energy: str, eps: float):
+    return F.when(F.col("_edge") == 1, F.sqrt(F.col(energy) + F.lit(eps))).otherwise(0.0) + F.col("_loop")
+
+
 def propagation_matrix(edges: DataFrame, nodes: DataFrame, eps: float = C.PROPAGATION_EPSILON) -> DataFrame:
     """`sqrt(energy + eps)` on the non-zeros plus the identity; a graph without edges stays empty."""
-    base = sym_skew_energy(edges).select("src", "dst", F.sqrt(F.col("w") + F.lit(eps)).alias("w"))
-    loops = identity_entries(nodes).filter(edges.select(F.lit(1)).exists())
-    return matrix_add(base, loops)
+    diagonal = nodes.filter(edges.select(F.lit(1)).exists())
+    entries = _mirrored(_with_sums(edges, "src"), diagonal, {"_out": _half_square("src")})
+    return entries.select("src", "dst", _propagation_value("_out", eps).alias("w"))
+
+
+def propagation_wide(edges: DataFrame, nodes: DataFrame, eps: float = C.PROPAGATION_EPSILON) -> DataFrame:
+    """`(src, dst, w_out, w_in, _edge, _loop)`: propagation values of the graph and of its transpose.
+
+    The transpose's row sums are the graph's column sums and both results have the same places, so one
+    aggregation serves both. `edges` must hold each (src, dst) once.
+    """
+    diagonal = nodes.filter(edges.select(F.lit(1)).exists())
+    shares = {"_out": _half_square("src"), "_in": _half_square("dst")}
+    entries = _mirrored(_with_sums(edges, "src", "dst"), diagonal, shares)
+    return entries.select(
+        "src",
+        "dst",
+        _propagation_value("_out", eps).alias("w_out"),
+        _propagation_value("_in", eps).alias("w_in"),
+        "_edge",
+        "_loop",
+    )
 
 
 def propagation_pair(edges: DataFrame, nodes: DataFrame, eps: float = C.PROPAGATION_EPSILON) -> DataFrame:
     """Propagation matrices of the graph and its transpose, tagged `matrix` = out / in."""
-    out = propagation_matrix(adjacency_out(edges), nodes, eps).withColumn("matrix", F.lit("out"))
-    into = propagation_matrix(adjacency_in(edges), nodes, eps).withColumn("matrix", F.lit("in"))
-    return out.unionByName(into)
+    tagged = F.array(
+        F.struct(F.lit("out").alias("matrix"), F.col("w_out").alias("w")),
+        F.struct(F.lit("in").alias("matrix"), F.col("w_in").alias("w")),
+    )
+    wide = propagation_wide(adjacency_out(edges), nodes, eps)
+    return wide.select("src", "dst", F.inline(tagged)).select("matrix", "src", "dst", "w")
+
+
+def layer_matrices(edges: DataFrame, nodes: DataFrame, eps: float = C.PROPAGATION_EPSILON) -> DataFrame:
+    """`(src, dst, w_out, w_in, w_und)`: both propagation matrices and the normalised undirected one.
+
+    All three share their places: the undirected entry is worth 1 per edge flag plus 1 per loop flag, so it
+    needs no aggregation of its own beyond the degrees. `edges` must hold each (src, dst) once.
+    """
+    wide = propagation_wide(edges, nodes, eps).withColumn("w", (F.col("_edge") + F.col("_loop")).cast("double"))
+    deg = wide.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("_d"))
+    row = deg.select(F.col("id").alias("src"), (1.0 / F.sqrt("_d")).alias("_r"))
+    col = deg.select(F.col("id").alias("dst"), (1.0 / F.sqrt("_d")).alias("_c"))
+    return (
+        wide.join(row, "src")
+        .join(col, "dst")
+        .select("src", "dst", "w_out", "w_in", (F.col("_r") * F.col("w") * F.col("_c")).alias("w_und"))
+    )
 
 
 def matrix_add(*matrices: DataFrame) -> DataFrame:

@@ -114,27 +114,21 @@ def encode_edges(edges: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def level_counts(seqs: DataFrame, max_n: int, seq: str = "seq") -> DataFrame:
-    """`(width, ngram, n_occ)` for all widths 1..max_n+1 from a single pass over the chunks.
+    """`(width, ngram, n_occ)` for all widths 1..max_n+1 from one pass over the text.
 
-    Width n gives the vocabulary of level n; width n+1 gives its edges.
+    Width n gives the vocabulary of level n, width n+1 its edges. The pass counts only the longest windows,
+    where the last few starts of a sequence contribute the shorter text that is left. Every narrower window
+    is the prefix of exactly one of those, so all other widths follow from the counted table.
     """
-    # A chunk starts every CHUNK characters and carries max_n more, so it can serve every width. Width k
-    # may only use windows that start in the chunk's own part: the text is cut to CHUNK + k - 1.
+    longest = max_n + 1
     chunks = seqs.select(F.explode(text.overlapping_chunks(seq, CHUNK, max_n)).alias("_chunk"))
-    widths = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("width"),
-                text.gram_array(F.substring("_chunk", 1, CHUNK + k - 1), k).alias("grams"),
-            )
-            for k in range(1, max_n + 2)
-        ]
-    )
-    return (
-        chunks.select(F.inline(widths))
-        .select("width", F.explode("grams").alias("ngram"))
-        .groupBy("width", "ngram")
-        .agg(F.count(F.lit(1)).alias("n_occ"))
+    # starts beyond CHUNK belong to the next chunk
+    starts = F.slice(text.window_array("_chunk", longest), 1, CHUNK)
+    counted = chunks.select(F.explode(starts).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("n_occ"))
+    width = F.explode(F.sequence(F.lit(1), F.length("ngram")))
+    prefixes = counted.select(width.alias("width"), "ngram", "n_occ")
+    return prefixes.groupBy("width", F.col("ngram").substr(F.lit(1), F.col("width")).alias("ngram")).agg(
+        F.sum("n_occ").alias("n_occ")
     )
 
 

@@ -30,7 +30,7 @@ def hierarchical_embed(
             x = features.pool_prefix_suffix(grams, levels[n - 1].select("ngram", "vec"), width)
         widths = [width, *dims[1:]]
         layers = [DirectedLayer.seeded(widths[i], widths[i + 1], seed + 100 * n + 10 * i) for i in range(len(widths) - 1)]
-        vectors = features.embed_nodes(g.matrices, g.nodes, materialise(x), layers)
+        vectors = features.embed_nodes(g.matrices, materialise(x), layers)
         levels[n] = materialise(grams.join(vectors, "id").select("id", "ngram", "vec"))
     return levels
 

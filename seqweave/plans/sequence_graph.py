@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqweave import constants as C
-from seqweave.operators import features, graph, ngrams
+from seqweave.operators import graph, ngrams
 from seqweave.session import materialise
 
 
 @dataclass
 class LevelGraph:
-    """One level: nodes `(id, name)`, counted edges `(src, dst, w)`, matrices `(path, src, dst, w)`."""
+    """One level: nodes `(id, name)`, counted edges `(src, dst, w)`, matrices `(src, dst, w_out, w_in, w_und)`."""
 
     n: int
     nodes: DataFrame
@@ -33,4 +33,4 @@ def level_graph(vocab: DataFrame, edges: DataFrame, n: int, eps: float = C.PROPA
     named = vocab.filter(F.col("n") == n).select("id", F.col("ngram").alias("name"))
     counted = edges.filter(F.col("n") == n).select("src", "dst", F.col("w").cast("double").alias("w"))
     nodes = materialise(graph.densify_nodes(named, counted))
-    return LevelGraph(n, nodes, counted, materialise(features.layer_matrices(counted, nodes, eps)))
+    return LevelGraph(n, nodes, counted, materialise(graph.layer_matrices(counted, nodes, eps)))

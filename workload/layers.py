@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seqweave.functions import vectors as V
-from seqweave.operators import convs, features
+from seqweave.operators import convs, features, graph
 from seqweave.operators.features import DirectedLayer
 from seqweave.plans.embed import embed_records, hierarchical_embed
 from seqweave.plans.sequence_graph import build_graph
@@ -161,12 +161,12 @@ def _gates(spark, sf):
 
 
 def _matrices(spark, sf):
-    return materialise(features.layer_matrices(edges(spark, sf), nodes(spark, sf)))
+    return materialise(graph.layer_matrices(edges(spark, sf), nodes(spark, sf)))
 
 
 @query("directed_layer", f"with {_LAYER} {_out('y')}")
 def directed_layer(spark, sf):
-    out = features.directed_layer(_matrices(spark, sf), nodes(spark, sf), vectors(spark, sf), _layer(), _gates(spark, sf))
+    out = features.directed_layer(_matrices(spark, sf), vectors(spark, sf), _layer(), _gates(spark, sf))
     return cells(out, "id")
 
 
@@ -176,7 +176,7 @@ _STACK = f"""{_LAYER}, res as ({_lin('xl', 6, 7)}),
 
 @query("directed_stack", f"with {_STACK} {_out('s')}")
 def directed_stack(spark, sf):
-    out = features.directed_stack(_matrices(spark, sf), nodes(spark, sf), vectors(spark, sf), [_layer()], [_gates(spark, sf)])
+    out = features.directed_stack(_matrices(spark, sf), vectors(spark, sf), [_layer()], [_gates(spark, sf)])
     return cells(out, "id")
 
 
@@ -185,7 +185,7 @@ def directed_stack(spark, sf):
     f"with {_STACK}, nn as (select id, sqrt(sum(v*v)) + 1e-12 as n from s group by 1), z as (select s.id, i, v / nn.n as v from s join nn on nn.id = s.id) {_out('z')}",
 )
 def node_embeddings(spark, sf):
-    out = features.embed_nodes(_matrices(spark, sf), nodes(spark, sf), vectors(spark, sf), [_layer()], [_gates(spark, sf)])
+    out = features.embed_nodes(_matrices(spark, sf), vectors(spark, sf), [_layer()], [_gates(spark, sf)])
     return cells(out, "id")
 
 

@@ -134,7 +134,8 @@ _NAMED = "with e as (select src, dst, cast(w as double) as w from level_edges wh
 def graph_matrices_of_level_2(spark, sf):
     vocab, edges, _ = build_graph(seqs(spark, sf), 3)
     g = level_graph(vocab, edges, 2)
-    return g.matrices.select("path", "src", "dst", rounded("w").alias("w"))
+    paths = F.array(*[F.struct(F.lit(p).alias("path"), F.col(f"w_{p}").alias("w")) for p in ("out", "in", "und")])
+    return g.matrices.select("src", "dst", F.inline(paths)).select("path", "src", "dst", rounded("w").alias("w"))
 
 
 _TOKEN = (
