@@ -68,10 +68,10 @@ def truncate_tokens(tokens: str | Column, max_len: int = C.MODEL_MAX_LENGTH) ->
 def gram_array(text: str | Column, width: int) -> Column:
     """Every overlapping window of `width` characters, in order.
 
-    One left-to-right regular-expression scan: a zero-width lookahead captures the window at each
-    character, so the cost is linear in the text and no per-character lambda is interpreted.
+    One left-to-right regular-expression scan: a lookahead captures the window at each character and one
+    character is consumed, so the cost is linear in the text and no per-character lambda is interpreted.
     """
-    return F.regexp_extract_all(_col(text), F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
+    return F.regexp_extract_all(_col(text), F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1))
 
 
 def window_array(text: str | Column, width: int) -> Column:
