@@ -153,17 +153,23 @@ def roc_curve(scored: DataFrame, by: Sequence[str] = (), drop_collinear: bool =
     """
     down = _score_counts(scored, by).withColumn("_key", -F.col("score"))
     cum = running_totals(down, ["_key"], {"_tp": "pos", "_fp": "neg"}, by)
-    totals = down.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    # the last point of a group holds its totals; `cum` reads an already written table
+    totals = cum.groupBy(*by).agg(F.max("_tp").alias("_P"), F.max("_fp").alias("_N"))
     start = totals.select(
-        *by, F.lit(0).cast("bigint").alias("_tp"), F.lit(0).cast("bigint").alias("_fp"), F.lit(float("inf")).alias("threshold")
+        *by,
+        F.lit(0).cast("bigint").alias("_tp"),
+        F.lit(0).cast("bigint").alias("_fp"),
+        F.lit(float("inf")).alias("threshold"),
     )
     points = cum.select(*by, "_tp", "_fp", F.col("score").cast("double").alias("threshold")).unionByName(start)
     if drop_collinear:
         points = _drop_collinear(points, by)
-    joined = points.join(totals, list(by)) if by else points.withColumn("_one", F.lit(1)).join(
-        totals.withColumn("_one", F.lit(1)), "_one"
-    )
-    return joined.select(
+    if by:
+        points = points.join(totals, list(by))
+    else:
+        n_pos, n_neg = totals.first()  # two numbers
+        points = points.withColumns({"_P": F.lit(n_pos), "_N": F.lit(n_neg)})
+    return points.select(
         *by, _ratio(F.col("_fp"), F.col("_N")).alias("fpr"), _ratio(F.col("_tp"), F.col("_P")).alias("tpr"), "threshold"
     )
 

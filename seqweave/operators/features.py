@@ -71,7 +71,7 @@ def propagate(
     dim = dim if dim is not None else vector_dim(x)
     weight = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
     slim = edges.select("src", "dst", weight.alias("_weight"))
-    sent = lookup_join(slim, x.select(F.col("id").alias("src"), V.as_double("vec").alias("vec")), "src")
+    sent = lookup_join(slim, x.select(F.col("id").alias("src"), "vec"), "src")  # widened in the sums
     received = sent.select(F.col("dst").alias("id"), "vec", "_weight")
     got = aggregate_vectors(received, ["id"], "vec", dim, how, "_weight")
     if nodes is None:
@@ -141,7 +141,7 @@ def _transform_then_gather(matrices: DataFrame, x: DataFrame, layer: DirectedLay
 
 def _gather_then_transform(matrices: DataFrame, x: DataFrame, layer: DirectedLayer) -> DataFrame:
     """`(id, in, out, und)`: sum raw vectors per path and transform the sums."""
-    source = x.select(F.col("id").alias("src"), V.as_double("vec").alias("vec"))
+    source = x.select(F.col("id").alias("src"), "vec")
     weights = F.array(*[F.struct(F.lit(p).alias("path"), F.col(f"w_{p}").alias("w")) for p in PATHS])
     long = lookup_join(matrices, source, "src").select(F.col("dst").alias("id"), "vec", F.inline(weights))
     summed = _pivot_paths(aggregate_vectors(long, ["path", "id"], "vec", layer.dim_in, "sum", "w"))

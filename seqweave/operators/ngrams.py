@@ -135,7 +135,7 @@ def level_counts(seqs: DataFrame, max_n: int, seq: str = "seq") -> DataFrame:
 def build_levels(seqs: DataFrame, max_n: int, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Vocabulary `(n, id, ngram)` and encoded edges `(n, src, dst, w)` for every n in 1..max_n."""
     counts = materialise(level_counts(seqs, max_n, seq))  # small: distinct windows only
-    vocab = level_vocabulary(counts, max_n)
+    vocab = materialise(level_vocabulary(counts, max_n))  # joined at both ends of every edge
     source = vocab.select("n", F.col("ngram").alias("_a"), F.col("id").alias("src"))
     target = vocab.select("n", F.col("ngram").alias("_b"), F.col("id").alias("dst"))
     edges = (
