@@ -252,10 +252,10 @@ def benchmark_graph_edges(spark, sf):
     return pairs
 
 
-@query("graph_snapshot", "select cast(w as int) as n, src, dst, w from edges where w = 2")
+@query("graph_snapshot", "select cast(w as int) as n, src, dst, w from edges")
 def graph_snapshot(spark, sf):
     path = scratch_path(spark, "graph")
     levelled = edges(spark, sf).withColumn("n", F.col("w").cast("int"))
     named = nodes(spark, sf).withColumn("n", F.lit(2))
     save_graph(named, levelled, path)
-    return load_graph(spark, path, 2)[1].select("n", "src", "dst", "w")
+    return load_graph(spark, path)[1].select("n", "src", "dst", "w")
