@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 import seqweave.llm
 from seqweave.llm.chat_format import format_conversations, read_back
 from seqweave.llm.common import read_table, whole_text
+from seqweave.llm.decontamination import contamination
 from seqweave.llm.fingerprints import as_hex, fingerprints, likeness
 from seqweave.llm.license_scan import BASE_PHRASES, scan_licenses
+from seqweave.llm.packing import pack
 from seqweave.llm.secret_scan import BASE_KINDS, COPIED, LIVE, MIXED_KIND, scan_secrets
 from seqweave.llm.token_counts import count_tokens
 from seqweave.operators.ordering import global_rank
@@ -109,6 +111,14 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens; one row per piece."""
+    path = public_tokenizers.path
+    pieces = pack(documents(spark, sf_dir), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), capacity=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one made of control strings, formatted and read back from the formatted text."""
@@ -118,6 +128,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(hostile)))
 
 
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap with benchmark items, with the place and size of the overlap."""
+    return contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text under the word-end vocabulary."""
