@@ -16,8 +16,10 @@ from seqweave.llm.decontamination import contamination
 from seqweave.llm.fingerprints import as_hex, fingerprints, likeness
 from seqweave.llm.license_scan import BASE_PHRASES, scan_licenses
 from seqweave.llm.packing import pack
+from seqweave.llm.quality import score_quality
 from seqweave.llm.secret_scan import BASE_KINDS, COPIED, LIVE, MIXED_KIND, scan_secrets
 from seqweave.llm.token_counts import count_tokens
+from seqweave.llm.toxicity import score_toxicity
 from seqweave.operators.ordering import global_rank
 from seqweave.session import materialise
 
@@ -91,6 +93,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels outside the held-out fold."""
+    return score_toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every text; a base phrase alone scores one half, a template the share of its words in place."""
@@ -119,6 +127,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from the labels outside the held-out fold."""
+    return score_quality(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one made of control strings, formatted and read back from the formatted text."""
