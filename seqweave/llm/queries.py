@@ -14,6 +14,7 @@ from seqweave.llm.chat_format import format_conversations, read_back
 from seqweave.llm.common import read_table, whole_text
 from seqweave.llm.decontamination import contamination
 from seqweave.llm.fingerprints import as_hex, fingerprints, likeness
+from seqweave.llm.jaccard_join import jaccard_components
 from seqweave.llm.license_scan import BASE_PHRASES, scan_licenses
 from seqweave.llm.packing import pack
 from seqweave.llm.quality import score_quality
@@ -93,6 +94,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and the smallest document that links lead to."""
+    return jaccard_components(documents(spark, sf_dir))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text, learned from the labels outside the held-out fold."""
