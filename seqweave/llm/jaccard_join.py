@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,18 +75,17 @@ def most_differences(largest: int) -> int:
     return (largest + other) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
 
 
-def layout(largest: int, n2: int) -> tuple[int, int]:
-    """(groups, slack) of a band: groups of `n2` partitions, so many that more than `slack` hold at most one difference."""
+def layout(largest: int) -> tuple[int, int]:
+    """(groups, slack) of a band: so many groups of partitions that more than `slack` of them hold at most one difference."""
     k = most_differences(largest)
     slack = k // 8 + 2 if k else 0
     return k // 2 + 1 + slack, slack
 
 
-def signatures(elements: np.ndarray, n2: int) -> np.ndarray:
-    """Signatures of a set in all its bands."""
-    out = []
+def signatures(elements: np.ndarray, n2: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(signatures, their elements' counts, slack) of a set in each of its bands."""
     for number, largest in bands(len(elements)):
-        groups, slack = layout(largest, n2)
+        groups, slack = layout(largest)
         parts = groups * n2
         # the hash's top bits deal elements to partitions, so each partition is a run of the ascending hashes
         part = ((elements >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -97,12 +96,15 @@ def signatures(elements: np.ndarray, n2: int) -> np.ndarray:
         place = np.arange(parts, dtype=np.uint64).reshape(groups, n2) + np.uint64((number + 1) << 32)
         kept = content.sum(axis=1, keepdims=True, dtype=np.uint64) - content
         size = count.sum(axis=1, keepdims=True) - count
-        sig = _mixed(kept + _mixed(place * _M1)).reshape(-1)
-        if slack:
-            order = np.lexsort((sig, -size.reshape(-1)))
-            sig = sig[order[: len(order) - slack]]
-        out.append(sig)
-    return np.concatenate(out)
+        yield _mixed(kept + _mixed(place * _M1)).reshape(-1), size.reshape(-1), slack
+
+
+def richest(elements: np.ndarray, n2: int) -> np.ndarray:
+    """Signatures of all bands without the poorest `slack` of each."""
+    kept = []
+    for sig, size, slack in signatures(elements, n2):
+        kept.append(sig[np.lexsort((sig, -size))[: len(sig) - slack]])
+    return np.concatenate(kept)
 
 
 def parity_bitmap(elements: np.ndarray) -> np.ndarray:
@@ -153,25 +155,86 @@ def _wanted(batches: Iterator[pa.RecordBatch], table) -> Iterator[tuple[int, np.
                 yield node, s
 
 
+def _close_pairs(node: np.ndarray, component: np.ndarray, size: np.ndarray, block: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+    """Pairs of a group in different components (and blocks, if there are two) that sizes and bitmaps do not exclude."""
+    found, widths = [], np.fromiter(map(len, maps), np.int64, len(maps))
+    two = bool((block != block[0]).any())
+
+    def compare(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> None:
+        for low in range(0, len(a), 256):
+            rows = a[low : low + 256]
+            apart = np.bitwise_count(of_a[low : low + 256, None, :] ^ of_b[None, :, :]).sum(axis=2, dtype=np.int64)
+            total = size[rows][:, None] + size[b][None, :]
+            apart = np.maximum(apart, np.abs(size[rows][:, None] - size[b][None, :]))
+            good = (component[rows][:, None] != component[b][None, :]) & (apart * (DENOMINATOR + NUMERATOR) <= total * (DENOMINATOR - NUMERATOR))
+            if two:
+                good &= block[rows][:, None] != block[b][None, :]
+            i, j = np.nonzero(good)
+            found.append(np.stack([node[rows[i]], node[b[j]]], axis=1))
+
+    for width in np.unique(widths).tolist():
+        a = np.flatnonzero(widths == width)
+        of_a = np.stack([maps[i] for i in a])
+        compare(a, a, of_a, of_a)
+        # sets of similar size have bitmaps of the same width or of the double one, which is folded
+        b = np.flatnonzero(widths == 2 * width)
+        if len(b):
+            of_b = np.stack([maps[i] for i in b])
+            compare(a, b, of_a, of_b[:, :width] ^ of_b[:, width:])
+    return np.concatenate(found)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Close pairs of each group, from rows in the order of the group's key (sig, low, high)."""
+    held: list[tuple] = []
+    key = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "low", "high")], axis=1)
+        node, component, size, block = (batch.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block"))
+        offsets = batch.column("bitmap").offsets.to_numpy()
+        values = batch.column("bitmap").values.to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.empty(0, np.int64)
+        out = []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+            if key is not None and tuple(keys[a]) != key:
+                out += _group_pairs(held)
+                held = []
+            key = tuple(keys[a])
+            held.append((node[a:b], component[a:b], size[a:b], block[a:b], [values[offsets[i] : offsets[i + 1]] for i in range(a, b)]))
+        if out:
+            both = np.concatenate(out)
+            yield _pair_batch(both[:, 0], both[:, 1])
+    if held and (out := _group_pairs(held)):
+        both = np.concatenate(out)
+        yield _pair_batch(both[:, 0], both[:, 1])
+
+
+def _group_pairs(held: list[tuple]) -> list[np.ndarray]:
+    if sum(len(x[0]) for x in held) < 2:
+        return []
+    node, component, size, block = (np.concatenate([x[i] for x in held]) for i in range(4))
+    return [_close_pairs(node, component, size, block, [m for x in held for m in x[4]])]
+
+
 def _pair_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0) if len(u) else np.empty((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
 
 _SIGNATURE_BLOCK = 1 << 21
+_SMALL_GROUP = 64
+_BLOCK_NODES = 4096
 _SIGNATURE_ROW = "sig long, node long, pivot long"
 
 
-def _signature_rows(n2: int, table, combine: bool):
-    """Rows (sig, node, null); with `combine` a block keeps one node of each signature and links the others to it.
+def _signature_rows(n2: int):
+    """Rows (sig, node, null). A block keeps one node of each signature and links the others to it.
 
     Such links are rows (any hash, node, pivot). What a third of all rows share so leaves each block as one row.
     """
 
     def block(sigs: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
         sig, node = np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs])
-        if not combine:
-            return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.nulls(len(sig), pa.int64())], names=["sig", "node", "pivot"])
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
         first = np.concatenate([[True], sig[1:] != sig[:-1]])
@@ -188,8 +251,8 @@ def _signature_rows(n2: int, table, combine: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, waiting = [], [], 0
-        for node, s in _wanted(batches, table):
-            sigs.append(signatures(s, n2))
+        for node, s in _wanted(batches, None):
+            sigs.append(richest(s, n2))
             nodes.append(node)
             waiting += len(sigs[-1])
             if waiting >= _SIGNATURE_BLOCK:
@@ -201,6 +264,29 @@ def _signature_rows(n2: int, table, combine: bool):
     return run
 
 
+def _feature_rows(table, features):
+    """Rows (sig, node) of the nodes that pass the filter, one for each value of `features` of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, nodes, waiting = [], [], 0
+
+        def block() -> pa.RecordBatch:
+            node = np.repeat(np.array(nodes, np.int64), [len(x) for x in values])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(node)], names=["sig", "node"])
+
+        for node, s in _wanted(batches, table):
+            values.append(features(s))
+            nodes.append(node)
+            waiting += len(values[-1])
+            if waiting >= _SIGNATURE_BLOCK:
+                yield block()
+                values, nodes, waiting = [], [], 0
+        if nodes:
+            yield block()
+
+    return run
+
+
 def _star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in the order of the signature: each node of a signature with the signature's first node, and the links."""
     last_sig = last_pivot = None
@@ -297,7 +383,7 @@ class _Join:
 
     def candidates(self) -> DataFrame:
         """(u, v) pairs: the nodes of each signature with its pivot."""
-        rows = self.texts.mapInArrow(_signature_rows(self.n2, None, True), _SIGNATURE_ROW)
+        rows = self.texts.mapInArrow(_signature_rows(self.n2), _SIGNATURE_ROW)
         return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_star_rows, "u long, v long").distinct()
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
@@ -332,29 +418,86 @@ class _Join:
         if not rest.isEmpty():
             links = links.unionByName(self.verified(rest))
             labels = connected_components(links)
-        more = materialise(self.within_mixed_groups(pairs, labels))
-        if not more.isEmpty():
-            links = links.unionByName(self.verified(more))
+        # last the pairs of one signature's group that had no pivot among them
+        mixed = self.mixed_groups(pairs, labels)
+        if mixed is None:
+            return labels
+        while True:  # one node stands for its component, until that joins no more of them
+            more = self.bounded(_renamed(mixed, labels).transform(_heads).join(pairs, ["u", "v"], "left_anti"))
+            found = self.verified(materialise(more))
+            if found.isEmpty():
+                break
+            links = links.unionByName(found)
             labels = connected_components(links)
-        return labels
-
-    def within_mixed_groups(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs not looked at so far: both in one signature's group, neither its pivot, in different components."""
-        mixed = materialise(_across(pairs, labels).select("_cu", "_cv"))
-        touched = mixed.select(F.explode(F.array("_cu", "_cv")).alias("component")).distinct()
-        named = _named(self.sets.select("node").distinct(), "node", labels).withColumnRenamed("_cnode", "component")
-        nodes = materialise(named.join(touched, "component", "left_semi"))
+        # then node by node: in small groups directly, of large ones by the rarest features of their nodes
+        placed = materialise(_renamed(mixed, labels))
+        small = placed.filter(F.col("n") <= _SMALL_GROUP).select("sig", "node", "component", "n")
+        crossing = self.crossing(small.unionByName(self.rarest_features(placed, labels)))
+        more = materialise(crossing.join(pairs, ["u", "v"], "left_anti"))
+        if more.isEmpty():
+            return labels
+        return connected_components(links.unionByName(self.verified(more)))
+
+    def crossing(self, rows: DataFrame) -> DataFrame:
+        """Pairs of nodes that share a signature, are in different components and are not excluded by size and bitmap.
+
+        A group is compared in blocks of about `_BLOCK_NODES` nodes; one of more nodes is dealt to pairs of blocks.
+        """
+        blocks = F.ceil(F.col("n") / _BLOCK_NODES).cast("int")
+        dealt = rows.join(self.sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        keyed = dealt.select(
+            "sig", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "node", "component", "n_shingles", "block", "bitmap"
+        )
+        key = ["sig", "low", "high"]
+        return keyed.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compared, "u long, v long").distinct()
+
+    def mixed_groups(self, pairs: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """(sig, node, n) of signatures held by `n` nodes of several components; None if there are none.
+
+        Only nodes of components that a candidate pair touches and does not join are looked at again.
+        """
+        apart = _across(pairs, labels).select(F.explode(F.array("_cu", "_cv")).alias("component")).distinct()
+        named = _renamed(self.sets.select("node").distinct(), labels)
+        nodes = materialise(named.join(apart, "component", "left_semi"))
         if nodes.isEmpty():
-            return pairs.limit(0)
-        rows = self.texts.mapInArrow(_signature_rows(self.n2, node_filter(nodes), False), _SIGNATURE_ROW)
-        rows = rows.select("sig", "node").join(nodes, "node")
-        # of a component the nodes of one signature; groups within one component are done
-        several = rows.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_a != _b and _n > 2")
-        rows = materialise(rows.join(several.select("sig"), "sig", "left_semi"))
-        a = rows.select("sig", F.col("node").alias("u"), F.col("component").alias("_cu"))
-        b = rows.select("sig", F.col("node").alias("v"), F.col("component").alias("_cv"))
-        found = a.join(b, "sig").filter("u < v and _cu != _cv").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
-        return self.bounded(found)
+            return None
+        n2 = self.n2
+        rows = self.texts.mapInArrow(_feature_rows(node_filter(nodes), lambda s: richest(s, n2)), "sig long, node long").join(nodes, "node")
+        held = Window.partitionBy("sig")
+        counted = rows.withColumns({"_a": F.min("component").over(held), "_b": F.max("component").over(held), "n": F.count(F.lit(1)).over(held)})
+        return materialise(counted.filter("_a != _b").select("sig", "node", "n"))
+
+    def rarest_features(self, placed: DataFrame, labels: DataFrame) -> DataFrame:
+        """(sig, node, component) with single shingles as signatures, for the nodes of large mixed groups.
+
+        Similar sets share four fifths of either, so among the rarest fifth and one more of each (in the order of
+        holders and hash, the same for all) they share one. What a common passage adds is not among the rarest.
+        """
+        large = placed.filter(F.col("n") > _SMALL_GROUP)
+        # a component's nodes count only where another component holds the signature still
+        held = large.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a != _b")
+        nodes = materialise(large.join(held.select("sig"), "sig", "left_semi").select("node").distinct())
+        rows = self.texts.mapInArrow(_feature_rows(node_filter(nodes), lambda s: s), "sig long, node long").join(nodes, "node", "left_semi")
+        shared = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("n > 1")
+        sizes = self.sets.groupBy("node").agg(F.max("n_shingles").alias("_size"))
+        first = Window.partitionBy("node").orderBy("n", "sig")
+        ranked = shared.withColumns({"_at": F.row_number().over(first), "_shared": F.count(F.lit(1)).over(Window.partitionBy("node"))})
+        prefix = F.col("_size") - F.ceil(F.col("_size") * NUMERATOR / DENOMINATOR) + 1
+        kept = ranked.join(sizes, "node").filter(F.col("_at") <= prefix - (F.col("_size") - F.col("_shared")))
+        return _renamed(kept.select("sig", "node", "n"), labels).select("sig", "node", "component", "n")
+
+
+def _renamed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return _named(rows, "node", labels).withColumnRenamed("_cnode", "component")
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """Pairs of the first component's smallest node in a signature's group with that of each other component."""
+    heads = rows.groupBy("sig", "component").agg(F.min("node").alias("node"))
+    firsts = heads.groupBy("sig").agg(F.min(F.struct("component", "node")).alias("_f"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    found = heads.join(firsts, "sig").filter("component != _f.component").select(F.col("_f.node").alias("_u"), F.col("node").alias("_v"))
+    return found.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct()
 
 
 def _named(rows: DataFrame, end: str, labels: DataFrame) -> DataFrame:

@@ -212,3 +212,13 @@ def score_quality(
     model = fit_rules(sample)
     scored = measured.select(F.col("_id"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), model.score().alias("score"))
     return scored.select(F.col("_id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`docs` without the rows that `score_quality` rejects, all columns as they are.
+
+    Rows with an id that repeats stay if one of its texts is good; rows without an id are kept by their score alike.
+    """
+    good = score_quality(docs.select(id_col, text_col), labels, id_col, text_col, **options).filter("predicted = 1")
+    kept = good.select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
