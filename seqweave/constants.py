@@ -30,7 +30,6 @@ MAX_CLUSTERS = 500
 CLOSEST_TOKEN_HOPS = 3
 DEFAULT_LABEL_TASK = "community"
 
-MAX_NEGATIVE_PAIRS = 100_000
 N_FOLDS = 5
 RANKING_K = (50, 100)
 SIGNIFICANCE_LEVEL = 0.05
@@ -45,6 +44,4 @@ TOKEN_EPOCHS = 5
 MODEL_MAX_LENGTH = 1024
 MODEL_BATCH_SIZE = 16
 PCA_TARGET_DIM = 64
-PROJECTION_SAMPLE = 2000
-PER_KEY_PLOT_LIMIT = 3
 # ----------------------------------------------------------------------------

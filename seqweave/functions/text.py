@@ -61,7 +61,7 @@ def tokenize(seq: str | Column) -> Column:
     return F.filter(F.split(_col(seq), ""), lambda t: F.length(t) > 0)
 
 
-def truncate_tokens(tokens: str | Column, max_len: int = C.MODEL_MAX_LENGTH) -> Column:
+def truncate_tokens(tokens: str | Column, max_len: int) -> Column:
     return F.slice(_col(tokens), 1, max_len)
 
 

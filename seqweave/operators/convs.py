@@ -181,6 +181,8 @@ def rgcn_conv(
     """Per-relation neighbour mean and transform plus root transform; `edges` may carry `rel` (default 0)."""
     rel = F.col("rel").cast("int") if "rel" in edges.columns else F.lit(0)
     typed = edges.select("src", "dst", rel.alias("rel"))
+    if not typed.filter(F.col("rel").isNull() | ~F.col("rel").between(0, len(relations) - 1)).isEmpty():
+        raise ValueError(f"edges have relations without a matrix; there are {len(relations)} matrices")
     sent = lookup_join(typed, x.select(F.col("id").alias("src"), "vec"), "src")
     means = aggregate_vectors(
         sent.select(F.col("dst").alias("id"), "rel", "vec"), ["id", "rel"], "vec", w_root.shape[1], how="mean"

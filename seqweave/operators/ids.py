@@ -46,18 +46,21 @@ def apply_id_map(
 def map_ids_by_table(
     ids: DataFrame, reference: DataFrame, sample: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Look ids up in a `(from, to)` table whose target is a plain id or a JSON record.
+    """Look ids up in a `(from, to[, ord])` table whose target is a plain id or a JSON record.
 
-    A JSON record contributes its `primaryAccession`.
+    A JSON record contributes its `primaryAccession`. An id has one target, that of the last row by `ord` (without
+    such a column the largest one).
     """
     if sample is not None:
         ids = sample_exact(ids, sample, keys=["id"], seed=seed)
     target = F.when(
         F.col("to").startswith("{"), F.get_json_object("to", "$.primaryAccession")
     ).otherwise(F.col("to"))
-    lookup = reference.select(F.col("from").alias("id"), target.alias("mapped")).filter(
+    last = F.col("ord") if "ord" in reference.columns else target
+    lookup = reference.select(F.col("from").alias("id"), target.alias("mapped"), last.alias("_last")).filter(
         (F.col("id") != "") & (F.col("mapped") != "")
     )
+    lookup = lookup.groupBy("id").agg(F.max_by("mapped", "_last").alias("mapped"))
     return ids.join(lookup, "id").select(F.col("id").alias("original"), "mapped")
 
 

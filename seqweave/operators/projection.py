@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave import constants as C
 from seqweave.functions.vectors import as_double
 from seqweave.operators.reduction import pca
 from seqweave.operators.splits import sample_exact
@@ -19,16 +18,16 @@ def flatten_labelled_sets(sets: DataFrame, key: str = "key") -> DataFrame:
     return sets.select(key, F.lit(0).alias("row"), "vec")
 
 
-def per_key_sets(sets: DataFrame, limit: int = C.PER_KEY_PLOT_LIMIT, key: str = "key") -> DataFrame:
-    """Rows of the first few keys that hold a matrix (a per-key plot is drawn for each)."""
-    chosen = sets.orderBy(key).limit(limit).filter(F.size("vec") > 0)
-    return flatten_labelled_sets(chosen, key)
+def projection_sample(points: DataFrame, n: int, keys: tuple[str, ...] = ("key", "row"), seed: int = 42) -> DataFrame:
+    """Seeded sample of n points (all if there are fewer), drawn on the keys before any vector moves.
 
-
-def projection_sample(points: DataFrame, n: int = C.PROJECTION_SAMPLE, keys: tuple[str, ...] = ("key", "row"), seed: int = 42) -> DataFrame:
-    """Seeded sample of at most n points, drawn on the keys before any vector moves."""
-    chosen = sample_exact(points.select(*keys), n, list(keys), seed)
-    return points.join(chosen, list(keys), "left_semi")
+    Of points that share their keys as many stay as the draw has taken of them.
+    """
+    names = list(keys)
+    chosen = sample_exact(points.select(*keys), n, names, seed).groupBy(*keys).agg(F.count(F.lit(1)).alias("_drawn"))
+    kept = points.join(chosen, names, "left_semi")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*[c for c in points.columns])))
+    return kept.withColumn("_copy", rank).join(chosen, names).filter("_copy <= _drawn").select(*points.columns)
 
 
 def project_2d(emb: DataFrame, key: str = "key") -> DataFrame:

@@ -15,9 +15,11 @@ SLICE = 64
 
 
 def vector_dim(df: DataFrame, vec: str = "vec") -> int:
-    """Length of the first non-empty vector (one-row action)."""
-    row = df.filter(F.size(vec) > 0).select(F.size(vec)).first()
-    return 0 if row is None else int(row[0])
+    """Width of the non-empty vectors, 0 if there are none; vectors of several widths are an error."""
+    least, most = df.filter(F.size(vec) > 0).agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
+    if least != most:
+        raise ValueError(f"vectors have widths from {least} to {most}; name the width that is meant")
+    return int(most or 0)
 
 
 def _reduce(how: str, value: Column) -> Column:

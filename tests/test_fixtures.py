@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqweave.functions import text as T
 from seqweave.functions import vectors as V
-from seqweave.operators import convs, evaluation, features, graph, ids, labels, ngrams, ordering, pairs, pooling, reduction, splits
+from seqweave.operators import convs, evaluation, features, graph, ids, labels, ngrams, ordering, pairs, pooling, projection, reduction, splits, vector_agg
 from seqweave.session import scratch_path
 from seqweave.sources import fasta, synthetic, tables
 from seqweave.sources.pairs import read_pairs_lenient, read_pairs_strict
@@ -176,10 +176,44 @@ def test_wilcoxon_ties_against_enumeration_and_normal_tail(spark):
     w, p = brute_wilcoxon_p(diffs)
     assert r.w == w and r.p_value == pytest.approx(p)
     many = spark.createDataFrame([(float(i if i % 3 else -i), 0.0) for i in range(1, 41)], "a double, b double")
-    big = evaluation.wilcoxon_signed_rank(many).first()
+    big = evaluation.wilcoxon_signed_rank(many, method="normal").first()
     n = 40
     z = abs(big.w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    assert big.p_value == pytest.approx(math.erfc(z / math.sqrt(2)))
+    assert big.p_value == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-6)
+
+
+def test_signed_ranks_of_millions_of_ties(spark):
+    equal = spark.range(3_000_000).select(F.lit(2.0).alias("a"), F.lit(1.0).alias("b"))
+    r = evaluation.wilcoxon_signed_rank(equal, method="normal").first()
+    assert (r.n, r.w) == (3_000_000, 0.0) and r.p_value == pytest.approx(0.0)
+
+
+def test_projection_sample_of_repeated_keys(spark):
+    points = spark.createDataFrame([(k % 3, 0, [float(k)]) for k in range(30)], "key int, row int, vec array<double>")
+    assert projection.projection_sample(points, 10).count() == 10
+    assert projection.projection_sample(points, 99).count() == 30
+
+
+def test_the_last_target_of_an_id_wins(spark):
+    wanted = spark.createDataFrame([("a",), ("b",)], "id string")
+    table = spark.createDataFrame([("a", "x", 1), ("a", "w", 2), ("b", "y", 1)], "`from` string, `to` string, ord int")
+    assert rows(ids.map_ids_by_table(wanted, table), "original", "mapped") == [("a", "w"), ("b", "y")]
+
+
+@pytest.mark.parametrize("width", [2, 64, 70])
+def test_vectors_of_two_widths_are_an_error(spark, width):
+    uneven = spark.createDataFrame([("a", [1.0] * width), ("a", [1.0] * (width + 1))], "key string, vec array<double>")
+    with pytest.raises(ValueError):
+        vector_agg.aggregate_vectors(uneven, ["key"])
+    even = uneven.limit(1)
+    assert vector_agg.aggregate_vectors(even, ["key"]).first().vec == [1.0] * width
+
+
+def test_an_unknown_relation_is_an_error(spark):
+    nodes = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "id long, vec array<double>")
+    edges = spark.createDataFrame([(0, 1, 5)], "src long, dst long, rel int")
+    with pytest.raises(ValueError):
+        convs.rgcn_conv(edges, nodes.select("id"), nodes, [np.eye(1)], np.eye(1))
 
 
 def test_compare_models_verdicts(spark):

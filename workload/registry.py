@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 # --- SQL views --------------------------------------------------------------
 
 VIEWS = {
-    "seqs": "select doc_id as seq_ord, cast(doc_id as varchar) as id, upper(regexp_replace(text,'[^A-Za-z]','','g')) as seq from documents",
+    "seqs": "select doc_id as seq_ord, cast(doc_id as varchar) as id, upper(replace(translate(text, ' ' || chr(9) || chr(10) || chr(13), '____'), 'ß', 'ss')) as seq from documents",
     "padded": "select seq_ord, id, case when seq_ord = (select min(seq_ord) from seqs) then ' ' else '' end || seq || ' ' as seq from seqs",
     "letters": "select id, unnest(string_split(seq,'')) as c, unnest(range(length(seq))) as pos from seqs where length(seq) > 0",
     "grams": "select id, pos, c as g1, c||lead(c,1) over w as g2, c||lead(c,1) over w||lead(c,2) over w as g3, c||lead(c,1) over w||lead(c,2) over w||lead(c,3) over w as g4 from letters window w as (partition by id order by pos)",
@@ -42,7 +42,7 @@ VIEWS = {
     "n_vec": "select max(vec_id) + 1 as n from embeddings",
     "edges": "select l_partkey % (select n from n_vec) as src, (l_suppkey*7 + l_linenumber) % (select n from n_vec) as dst, cast(count(*) as double) as w from lineitem group by 1,2",
     "nodes": "select vec_id as id from embeddings",
-    "pairs": "select cast(p.src as varchar) as p1, cast(p.dst as varchar) as p2, cast(case when a.label=b.label then 1 else 0 end as int) as label from edges p join embeddings a on a.vec_id=p.src join embeddings b on b.vec_id=p.dst where p.src<p.dst",
+    "pairs": "select cast(p.src as varchar) as p1, cast(p.dst as varchar) as p2, cast(case when a.label=b.label then 1 else 0 end as int) as label from (select distinct least(src, dst) as src, greatest(src, dst) as dst from edges where src <> dst) p join embeddings a on a.vec_id=p.src join embeddings b on b.vec_id=p.dst",
     "emb": "select cast(vec_id as varchar) as key, embedding as vec, label from embeddings",
     "xl": "select vec_id as id, cast(i as bigint) as i, cast(embedding[cast(i as int)] as double) as v from (select vec_id, embedding, unnest(range(1, len(embedding)+1)) as i from embeddings)",
     "headers": "select p_partkey as ord, case p_partkey % 4 when 0 then concat('sp|P',lpad(cast(p_partkey as varchar),5,'0'),'|X ',p_name) when 1 then concat('UniRef50_Q',lpad(cast(p_partkey as varchar),5,'0'),' ',p_name) when 2 then concat('Q',lpad(cast(p_partkey as varchar),5,'0'),' ',p_name) else concat('dummy_',cast(p_partkey as varchar)) end as header from part",
@@ -85,7 +85,8 @@ def seqs(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("seq_ord"),
         F.col("doc_id").cast("string").alias("id"),
-        F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"),
+        # every character stays; white space is written as a letter of its own, since a blank is the padding symbol
+        F.upper(F.replace(F.translate("text", " \t\n\r", "____"), F.lit("ß"), F.lit("ss"))).alias("seq"),
     )
 
 
@@ -120,7 +121,8 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "embeddings").select("vec_id", "label")
     a = labels.select(F.col("vec_id").alias("src"), F.col("label").alias("_a"))
     b = labels.select(F.col("vec_id").alias("dst"), F.col("label").alias("_b"))
-    joined = edges(spark, sf).filter(F.col("src") < F.col("dst")).join(a, "src").join(b, "dst")
+    ends = edges(spark, sf).filter("src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    joined = ends.distinct().join(a, "src").join(b, "dst")
     return joined.select(
         F.col("src").cast("string").alias("p1"),
         F.col("dst").cast("string").alias("p2"),

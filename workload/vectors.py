@@ -130,6 +130,16 @@ def model_rows_sliced(spark, sf):
     return pooling.slice_model_rows(rows, lengths).select("key", "pos", rounded(F.col("vec")[0]).alias("val"))
 
 
+@query(
+    "trained_token_set",
+    "select c as token, cast(16 as bigint) as dim from letters group by c having count(*) >= 5",
+)
+def trained_token_set(spark, sf):
+    """Tokens that are frequent enough have a vector of the width asked for."""
+    trained = pooling.train_token_embeddings(seqs(spark, sf), dim=16, epochs=1, min_count=5)
+    return trained.select("token", F.size("vec").cast("bigint").alias("dim"))
+
+
 @query("trained_token_vectors")
 def trained_token_vectors(spark, sf):
     return pooling.train_token_embeddings(seqs(spark, sf), dim=16, epochs=1)
@@ -141,7 +151,7 @@ def _composition_model():
     def run(texts: list[str]) -> list[np.ndarray]:
         out = []
         for spaced in texts:
-            codes = np.frombuffer(spaced.encode("ascii"), dtype=np.uint8)[::2].astype(np.float32)
+            codes = np.frombuffer(spaced.encode("utf-32-le"), dtype=np.uint32)[::2].astype(np.float32)
             rows = np.stack([codes % 5, codes % 7, codes % 11], axis=1)
             out.append(np.vstack([np.zeros((1, 3), dtype=np.float32), rows]))
         return out
@@ -174,6 +184,35 @@ def standardized_vectors(spark, sf):
     return cells(reduction.standardize(emb(spark, sf)), "key")
 
 
+_SCALED = (
+    "(select id, xl.i, (v - m) / case when sd > 0 then sd else 1 end as v from xl join "
+    "(select i, avg(v) as m, stddev_pop(v) as sd from xl group by 1) s on s.i = xl.i)"
+)
+
+
+@query(
+    "pca_keeps_lengths",
+    f"select cast(id as varchar) as key, cast(64 as bigint) as dim, round(sum(v * v), 4) + 0.0 as squared from {_SCALED} group by id",
+)
+def pca_keeps_lengths(spark, sf):
+    """A rotation to as many components as dimensions keeps every standardised vector's length."""
+    turned = reduction.pca(emb(spark, sf), 64).vectors
+    squared = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    return turned.select("key", F.size("vec").cast("bigint").alias("dim"), rounded(squared, 4).alias("squared"))
+
+
+@query(
+    "pca_components_uncorrelated",
+    "select cast(i as bigint) as i, cast(j as bigint) as j, 0.0::double as covariance from unnest(range(1, 9)) a(i), unnest(range(1, 9)) b(j) where i < j",
+)
+def pca_components_uncorrelated(spark, sf):
+    """Covariance of each two components of the scores, of mean zero."""
+    scores = reduction.pca(emb(spark, sf), 8).vectors.select(F.posexplode("vec").alias("i", "v"), "key")
+    a, b = (scores.select("key", F.col("i").alias(n), F.col("v").alias(f"v{n}")) for n in "ij")
+    both = a.join(b, "key").filter("i < j").groupBy("i", "j").agg(F.avg(F.col("vi") * F.col("vj")).alias("c"))
+    return both.select((F.col("i") + 1).cast("bigint").alias("i"), (F.col("j") + 1).cast("bigint").alias("j"), rounded("c", 5).alias("covariance"))
+
+
 @query("pca_vectors")
 def pca_vectors(spark, sf):
     return cells(reduction.pca(emb(spark, sf), 16).vectors, "key")
@@ -190,6 +229,11 @@ def pca_if_larger(spark, sf):
     return cells(reduction.pca_if_larger(emb(spark, sf), 64), "key")
 
 
+@query("pca_applied_if_larger", "select key, cast(16 as bigint) as dim from emb")
+def pca_applied_if_larger(spark, sf):
+    return reduction.pca_if_larger(emb(spark, sf), 16).select("key", F.size("vec").cast("bigint").alias("dim"))
+
+
 _HOLES = "case when (id * 7 + i) % 11 = 0 then null else v end"
 
 
@@ -282,11 +326,11 @@ def labelled_point_rows(spark, sf):
 @query(
     "projection_sample",
     """select key, row, n from (select doc_id as key, cast(0 as int) as row, n_chars as n, row_number() over (order by
-    md5(concat('42:', cast(doc_id as varchar), ':0')), doc_id) as rk from documents) where rk <= 2000""",
+    md5(concat('42:', cast(doc_id as varchar), ':0')), doc_id) as rk from documents) where rk <= 100""",
 )
 def projection_sample(spark, sf):
     points = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.lit(0).alias("row"), F.col("n_chars").alias("n"))
-    return projection.projection_sample(points)
+    return projection.projection_sample(points, 100)
 
 
 @query("projected_points")
