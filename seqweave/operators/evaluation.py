@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from seqweave import constants as C
 from seqweave.functions.seeded import seeded_hash
 from seqweave.functions.vectors import argmax
 from seqweave.operators.ordering import global_rank, running_totals
+from seqweave.session import materialise
 
 # --- models -----------------------------------------------------------------
 
@@ -242,6 +242,7 @@ def fold_metrics(
 ) -> DataFrame:
     """Long `(by..., metric, value)` with precision, recall, f1, auc, hits@k and ndcg@k."""
     keys = list(by)
+    scored = materialise(scored)  # four branches read it
     basic = precision_recall_f1(scored, by).join(roc_auc(scored, by), keys)
     flat = metrics_long(basic, keys, ["precision", "recall", "f1", "auc"])
     ranked = ranking_metrics(scored, ks, by, seed=seed)
@@ -344,7 +345,11 @@ def pearson(paired: DataFrame, a: str = "a", b: str = "b", by: Sequence[str] = (
 
 
 def compare_models(scores: DataFrame, main: str, alpha: float = C.SIGNIFICANCE_LEVEL) -> DataFrame:
-    """Main model against every other on `(model, fold, score)`: W, p, minimum attainable p, r and verdict."""
+    """Main model against every other on `(model, fold, score)`: W, p, minimum attainable p, r and verdict.
+
+    Verdicts: `not comparable` (folds differ or are fewer than two), `same` scores, `different` (p below alpha),
+    `not shown` (no difference shown).
+    """
     valid = scores.filter(~F.isnan("score") & F.col("score").isNotNull())
     base = valid.filter(F.col("model") == main).select("fold", F.col("score").alias("a"))
     n_main = base.agg(F.count(F.lit(1))).first()[0]
@@ -360,10 +365,7 @@ def compare_models(scores: DataFrame, main: str, alpha: float = C.SIGNIFICANCE_L
     usable = (F.col("_n") == n_main) & (F.col("_matched") == n_main) & (F.col("_n") > 1)
     p = F.when(F.col("_same"), 1.0).otherwise(F.col("p_value"))
     verdict = (
-        F.when(~usable, "N/A (score mismatch or too few/invalid folds)")
-        .when(F.col("_same"), "Identical scores")
-        .when(p < alpha, f"Yes (p < {alpha})")
-        .otherwise("No")
+        F.when(~usable, "not comparable").when(F.col("_same"), "same").when(p < alpha, "different").otherwise("not shown")
     )
     return (
         shape.join(tested, "model", "left")

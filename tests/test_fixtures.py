@@ -222,9 +222,9 @@ def test_compare_models_verdicts(spark):
         data += [("main", fold, 0.8 + fold / 100), ("same", fold, 0.8 + fold / 100), ("low", fold, 0.5 + fold / 50)]
     data += [("short", 0, 0.5)]
     got = {r.model: r for r in evaluation.compare_models(spark.createDataFrame(data, "model string, fold int, score double"), "main").collect()}
-    assert got["same"].verdict == "Identical scores" and got["same"].p_value == 1.0
-    assert got["low"].verdict == "No" and got["low"].p_value == pytest.approx(0.0625) and got["low"].r == pytest.approx(1.0)
-    assert got["short"].verdict.startswith("N/A")
+    assert got["same"].verdict == "same" and got["same"].p_value == 1.0
+    assert got["low"].verdict == "not shown" and got["low"].p_value == pytest.approx(0.0625) and got["low"].r == pytest.approx(1.0)
+    assert got["short"].verdict == "not comparable"
 
 
 def test_fasta_edge_cases(spark):

@@ -188,7 +188,7 @@ def pearson_per_model(spark, sf):
     bits as (select unnest(range(0, 32)) as m), sums as (select m, list_sum([case when (m >> (j - 1)) & 1 = 1 then j else 0 end for j in range(1, 6)]) as s from bits),
     c as (select f.model, corr(m.score, f.score) as r from fold_scores f join fold_scores m on m.fold = f.fold and m.model = 'm0' where f.model <> 'm0' group by 1)
     select g.model, round(cast(w as double), 6) + 0.0 as w, round(least(1.0, 2.0 * (select count(*) from sums where s <= w) / 32.0::double), 9) + 0.0 as p_value, 0.0625::double as min_p,
-    round(c.r, 6) + 0.0 as r, 'No' as verdict from g join c on c.model = g.model""",
+    round(c.r, 6) + 0.0 as r, 'not shown' as verdict from g join c on c.model = g.model""",
 )
 def model_comparison(spark, sf):
     c = E.compare_models(fold_scores(spark, sf), "m0")
