@@ -135,7 +135,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "n_shingles", "set_key", "bitmap"])
 
 
-def _passes(nodes: np.ndarray, table: np.ndarray | None) -> np.ndarray:
+def passes(nodes: np.ndarray, table: np.ndarray | None) -> np.ndarray:
+    """Which nodes the bit table of `node_filter` lets through."""
     if table is None:
         return np.ones(len(nodes), bool)
     at = _mixed(nodes.view(np.uint64)) >> np.uint64(64 - _FILTER_BITS)
@@ -148,7 +149,7 @@ def _wanted(batches: Iterator[pa.RecordBatch], table) -> Iterator[tuple[int, np.
     bits = None if table is None else np.frombuffer(table.value, np.uint8)
     for batch in batches:
         nodes = batch.column("node").to_numpy()
-        passed = batch.filter(pa.array(_passes(nodes, bits)))
+        passed = batch.filter(pa.array(passes(nodes, bits)))
         for node, text in zip(passed.column("node").to_pylist(), passed.column("_text").cast(pa.binary()).to_pylist()):
             s = shingle_set(text, known)
             if len(s):
@@ -213,6 +214,8 @@ def _group_pairs(held: list[tuple]) -> list[np.ndarray]:
     if sum(len(x[0]) for x in held) < 2:
         return []
     node, component, size, block = (np.concatenate([x[i] for x in held]) for i in range(4))
+    if (component == component[0]).all():
+        return []
     return [_close_pairs(node, component, size, block, [m for x in held for m in x[4]])]
 
 
@@ -475,9 +478,10 @@ class _Join:
         holders and hash, the same for all) they share one. What a common passage adds is not among the rarest.
         """
         large = placed.filter(F.col("n") > _SMALL_GROUP)
-        # a component's nodes count only where another component holds the signature still
-        held = large.groupBy("sig").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a != _b")
-        nodes = materialise(large.join(held.select("sig"), "sig", "left_semi").select("node").distinct())
+        # a node counts only where another component holds the signature still
+        held = Window.partitionBy("sig")
+        apart = large.withColumns({"_a": F.min("component").over(held), "_b": F.max("component").over(held)}).filter("_a != _b")
+        nodes = materialise(apart.select("node").distinct())
         rows = self.texts.mapInArrow(_feature_rows(node_filter(nodes), lambda s: s), "sig long, node long").join(nodes, "node", "left_semi")
         shared = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("n > 1")
         sizes = self.sets.groupBy("node").agg(F.max("n_shingles").alias("_size"))

@@ -13,7 +13,7 @@ import seqweave.llm
 from seqweave.llm.chat_format import format_conversations, read_back
 from seqweave.llm.common import read_table, whole_text
 from seqweave.llm.decontamination import contamination
-from seqweave.llm.fingerprints import as_hex, fingerprints, likeness
+from seqweave.llm.fingerprints import as_hex, fingerprint, likeness
 from seqweave.llm.jaccard_join import jaccard_components
 from seqweave.llm.license_scan import BASE_PHRASES, scan_licenses
 from seqweave.llm.packing import pack
@@ -52,9 +52,8 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = heads.select(F.col("_before").alias("doc_id"), "_quarter", F.substring(F.col("text"), F.lit(1), F.col("_quarter")).alias("_head"))
     kept = F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("_quarter"))
     both = docs.join(heads, "doc_id").select("doc_id", "text", F.concat(kept, F.col("_head")).alias("edited"))
-    facts = both.select("doc_id", "text", "edited", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    prints = fingerprints(facts, "doc_id", ["text", "edited"], clustered=True, carry=["n_chars", "edited_sha256"])
-    prints = materialise(prints)
+    facts = [F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")]
+    prints = materialise(both.select("doc_id", *facts, *[fingerprint(c).alias(f"{c}_fingerprint") for c in ("text", "edited")]))
     following = prints.select(F.col("doc_id").alias("next_id"), F.col("text_fingerprint").alias("_next"))
     return (
         prints.join(links.select("doc_id", "next_id"), "doc_id")
@@ -71,6 +70,40 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _secret_sql() -> str:
+    """The same spans: places come from the pieces between the matches, owners from all documents."""
+    runs = {"hex": "([0-9a-f]+)", "mixed": "([A-Za-z0-9+/_-]+)"}
+    kinds = []
+    for order, (kind, pattern, group, least) in enumerate((*BASE_KINDS, MIXED_KIND)):
+        p = runs.get(kind, pattern).replace("'", "''")
+        kinds.append(
+            f"select doc_id, source, {order} as ord, '{kind}' as kind, {least} as least, regexp_extract_all(text, '{p}', 0) as m, "
+            f"regexp_extract_all(text, '{p}', {group}) as v, string_split_regex(text, '{p}') as g from t"
+        )
+    return f"""with t as (select doc_id, source, coalesce(text, '') as text from documents),
+    k as ({" union all ".join(kinds)}),
+    r as (select doc_id, source, ord, kind, least, m, v, g, unnest(range(1, len(m) + 1)) as i from k),
+    p as (select doc_id, source, ord, kind, v[i] as value, length(m[i]) as size,
+        cast(list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i-1]]), 0) as bigint) as start
+        from r where length(v[i]) >= least),
+    s as (select doc_id, source, ord, kind, value, start, start + size as stop from p),
+    b as (select * from s where kind <> 'mixed'),
+    x as (select * from s where kind = 'mixed' and regexp_matches(value, '[A-Z]') and regexp_matches(value, '[a-z]') and regexp_matches(value, '[0-9]')
+        and not exists (select 1 from b where b.doc_id = s.doc_id and s.start < b.stop and b.start < s.stop)),
+    c as (select * from b union all select * from x),
+    o as (select value, count(distinct source) as owners from c group by 1),
+    j as (select c.*, case when owners >= 3 then 'copied' when owners <= 1 then 'live' else 'shared' end as status from c join o using (value)),
+    f as (select doc_id, ord, kind, start, stop, status, kind || ':' || start || ':' || stop as place from j where kind <> 'mixed' or status = 'live'),
+    a as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+        coalesce(string_agg(place, ',' order by start, ord, stop) filter (kind <> 'mixed'), '') as base, string_agg(place, ',' order by start, ord, stop) as spans,
+        count(*) filter (status = 'live') as n_live, count(*) filter (status = 'copied') as n_copied from f group by 1)
+    select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
+    coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied from t left join a using (doc_id)"""
+
+
+SQL["op2_secret_scan"] = _secret_sql()
+
+
 def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

@@ -81,13 +81,16 @@ def fingerprint(text: str) -> tuple[int, ...]:
             h = xxhash.xxh64_intdigest(v, h)
         return h
 
-    def of_int(value: int, seed: int) -> int:
-        return xxhash.xxh64_intdigest(int(value).to_bytes(4, "little"), seed)
-
     words = re.split("[ \t\n\x0b\x0c\r]+", text.lower().strip(" \t\n\x0b\x0c\r"))
     bins: dict[int, int] = {}
     for i in range(max(1, len(words) - 4)):
         h = chained(*[w.encode() for w in words[i : i + 5]])
         bins[h >> 56] = min(h, bins.get(h >> 56, h))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return tuple((bins[b] if b in bins else bins[min(bins, key=lambda d: signed(of_int(d, of_int(b, 42))))]) & 15 for b in range(256))
+
+    def donor(place: int) -> int:
+        mixed = place * 40503
+        start, step = (mixed & 0xFFFF) // 256, (mixed // 8) & 255 | 1
+        return next(h for t in range(256) if (h := bins.get(((start + step * t & 255) - 128) % 256)) is not None)
+
+    # bins stand in the order of signed numbers: place 0 is bin 128
+    return tuple((bins[b] if (b := (place - 128) % 256) in bins else donor(place)) & 15 for place in range(256))
