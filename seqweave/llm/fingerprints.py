@@ -1,9 +1,9 @@
 """Document fingerprints by one-permutation MinHash. DataFrame functions only.
 
 Every shingle of five words is hashed once. The hash's top bits choose a bin and each bin keeps its least hash. An
-empty bin takes the value of a non-empty one, found along a probe order of its own that depends on the bin numbers
-only (optimal densification: whichever bin is empty, its donor is uniform among the filled ones and the same for
-two sets with the same filled bins). The low bits of the bins are stored, sixteen bins of four bits to a long.
+empty bin takes the value of the first filled one along a probe order of its own, which depends on the bin number
+only (optimal densification: two sets with the same filled bins take the same donors). The low bits of the bins are
+stored, sixteen bins of four bits to a long. All of it is one column expression: no text and no shingle is shuffled.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from seqweave.llm.common import whole_text
 WORDS, BIN_BITS, LOW_BITS = 5, 8, 4
 BINS, PER_LONG = 1 << BIN_BITS, 64 // LOW_BITS
 _SPACE = " \t\n\x0b\x0c\r"
-_TOP = -(1 << 63)
 _ONES = 0x1111111111111111
+_VALUE = (1 << (64 - BIN_BITS)) - 1
+_EARLY_PROBES = 8
 
 
 def shingle_hash(words: Column, i: Column) -> Column:
@@ -35,20 +36,47 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _densified(mins: Column) -> Column:
-    """All bins in order, from the ascending minima of the filled ones (sign bit turned, so that they sort unsigned)."""
-    bins = F.sequence(F.lit(0), F.lit(BINS - 1))
+def _empty(h: Column) -> Column:
+    """Whether a bin holds the mark that stands in it before any hash does."""
+    return h.bitwiseAND(F.lit(_VALUE)) == _VALUE
 
-    def dense(filled: Column) -> Column:
-        def donor(b: Column) -> Column:
-            probes = F.transform(filled, lambda h: F.struct(F.xxhash64(b, _bin(h)).alias("rank"), h.alias("h")))
-            return F.array_min(probes)["h"]
 
-        by_bin = F.map_from_arrays(F.transform(filled, _bin), filled)
-        return _let(by_bin, lambda m: F.transform(bins, lambda b: F.coalesce(F.try_element_at(m, b), donor(b))))
+def _bin_minima(hashes: Column) -> Column:
+    """One value per bin, in the order of bins as signed numbers: its least hash, or a mark of all ones."""
+    marks = F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)), lambda b: F.shiftleft(b.cast("long"), 64 - BIN_BITS).bitwiseOR(F.lit(_VALUE)))
+    first = lambda a: F.filter(a, lambda h, i: (i == 0) | (_bin(h) != _bin(F.get(a, i - 1))))
+    return _let(F.sort_array(F.concat(hashes, marks)), first)
 
-    filled = F.transform(mins, lambda h: h.bitwiseXOR(F.lit(_TOP)))
-    return F.when(F.size(mins) == BINS, filled).otherwise(_let(filled, dense))
+
+def _probes(b: Column) -> tuple[Column, Column]:
+    """Start and odd width of the steps in which bin `b` asks all bins in turn."""
+    mixed = b * 40503
+    return F.shiftright(mixed, 8).bitwiseAND(BINS - 1), F.shiftright(mixed, 3).bitwiseAND(BINS - 1).bitwiseOR(1)
+
+
+def _densified(bins: Column) -> Column:
+    places = F.sequence(F.lit(0), F.lit(BINS - 1))
+
+    def dense(known: Column) -> Column:
+        """`known` holds null in empty bins."""
+
+        def donor(b: Column, filled: Column) -> Column:
+            start, step = _probes(b)
+            early = [F.get(known, (start + step * t).bitwiseAND(BINS - 1)) for t in range(_EARLY_PROBES)]
+            inverse = (step * (2 - step * step)).bitwiseAND(BINS - 1)
+            inverse = (inverse * (2 - step * inverse)).bitwiseAND(BINS - 1)
+
+            def first(asks: Column) -> Column:
+                # the step at which a filled bin is asked, and the bin
+                turns = F.transform(filled, lambda j: ((j - asks["start"]) * asks["inverse"]).bitwiseAND(BINS - 1) * BINS + j)
+                return F.get(known, F.array_min(turns).bitwiseAND(BINS - 1))
+
+            return F.coalesce(*early, _let(F.struct(start.alias("start"), inverse.alias("inverse")), first))
+
+        filled = F.filter(places, lambda i: F.get(known, i).isNotNull())
+        return _let(filled, lambda f: F.transform(known, lambda h, i: F.coalesce(h, donor(i, f))))
+
+    return _let(F.transform(bins, lambda h: F.when(~_empty(h), h)), dense)
 
 
 def _packed(values: Column) -> Column:
@@ -82,36 +110,23 @@ def likeness(a: str | Column, b: str | Column) -> Column:
     return F.greatest(F.lit(0.0), (agree - chance) / (1 - chance))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_cols: Sequence[str] = ("text",), clustered: bool = False, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct (id, texts): the id, `text_key` and for each text column `<column>_fingerprint` (16 longs).
+def fingerprint(text: str | Column) -> Column:
+    """Packed fingerprint (16 longs) of a text.
 
     Shingles are five consecutive words of the lower-cased text (words end at ASCII white space); a text of fewer
     words is one shingle; a text without words, null included, has the fingerprint of one fixed value, so two such
-    texts are alike and no other is like them. Equal texts have equal fingerprints whatever their row. Repeated
-    rows collapse, a null id is a key like others, other columns are ignored, an empty table gives an empty result.
-    Rows travel once, by id, before the texts are taken apart; `clustered` says that they are dealt by id already.
-    Columns named in `carry` must follow from id and texts; they are returned as well. One document's bins are all
-    that meets in a row.
+    texts are alike and no other is like them.
+    """
+    words = F.split(F.btrim(F.lower(whole_text(text)), F.lit(_SPACE)), f"[{_SPACE}]+")
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - WORDS, F.lit(0)))
+    hashes = _let(words, lambda w: F.transform(starts(w), lambda i: shingle_hash(w, i)))
+    return _packed(_densified(_bin_minima(hashes)))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_cols: Sequence[str] = ("text",)) -> DataFrame:
+    """One row per input row: the id and for each text column `<column>_fingerprint`.
+
+    Equal texts have equal fingerprints whatever their row. Null ids stay, repeated rows are returned each, other
+    columns are ignored, an empty table gives an empty result. A text's own words are all that meets in a row.
     """
-    texts = [whole_text(c) for c in text_cols]
-    rows = docs.select(F.col(id_col).alias("_id"), *[t.alias(f"_t{i}") for i, t in enumerate(texts)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    carried = [f"_c{i}" for i in range(len(carry))]
-    if not clustered:
-        rows = rows.repartition("_id")
-    names = [f"_t{i}" for i in range(len(texts))]
-    each = rows.select("_id", *carried, F.xxhash64(*names).alias("_key"), F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("text")) for i, c in enumerate(names)])).alias("_v"))
-    trimmed = F.btrim(F.lower("_v.text"), F.lit(_SPACE))
-    split = each.select("_id", "_key", *carried, F.col("_v.which").alias("_which"), F.split(trimmed, f"[{_SPACE}]+").alias("_words"))
-    last = F.greatest(F.size("_words") - WORDS, F.lit(0))
-    hashes = split.select("_id", "_key", *carried, "_which", "_words", F.explode(F.sequence(F.lit(0), last)).alias("_i")).select(
-        "_id", "_key", *carried, "_which", shingle_hash(F.col("_words"), F.col("_i")).alias("_h")
-    )
-    mins = hashes.groupBy("_id", "_key", "_which", _bin(F.col("_h")).alias("_bin")).agg(
-        F.min(F.col("_h").bitwiseXOR(F.lit(_TOP))).alias("_min"), *[F.first(c).alias(c) for c in carried]
-    )
-    filled = mins.groupBy("_id", "_key").agg(
-        *[F.sort_array(F.collect_list(F.when(F.col("_which") == i, F.col("_min")))).alias(f"_m{i}") for i in range(len(texts))],
-        *[F.first(c).alias(c) for c in carried],
-    )
-    packed = [_packed(_densified(F.col(f"_m{i}"))).alias(f"{c}_fingerprint") for i, c in enumerate(text_cols)]
-    return filled.select(F.col("_id").alias(id_col), F.col("_key").alias("text_key"), *packed, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+    return docs.select(id_col, *[fingerprint(c).alias(f"{c}_fingerprint") for c in text_cols])
