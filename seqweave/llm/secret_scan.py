@@ -121,21 +121,27 @@ def scan_secrets(
     return found.select("_row", "_id").join(spans, "_row", "left").select(F.col("_id").alias(id_col), F.coalesce("spans", empty).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = 3, mask: str = "[secret]") -> DataFrame:
-    """`docs` with the spans that are not widely copied examples replaced by `mask`; ids must be distinct.
+def redact(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = 3, mask: str = "[secret]"
+) -> DataFrame:
+    """`docs` with the spans that are not widely copied examples replaced by `mask`, all rows and columns as they are.
 
-    Overlapping spans are masked as one. Texts without such spans stay as they are, null stays null.
+    Overlapping spans are masked as one. Texts without such spans stay as they are, null stays null, rows that
+    repeat and rows without an id are masked each by their own text.
     """
-    found = scan_secrets(docs.select(id_col, text_col, *[c for c in dict.fromkeys((repo_col, owner_col)) if c not in (id_col, text_col)]), id_col, text_col, repo_col, owner_col, copied_owners)
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("text"))
+    rows = docs.select(key.alias("_key"), whole_text(text_col).alias("_text"), F.col(repo_col).alias("_repo"), F.col(owner_col).alias("_owner"))
     hot = F.filter("spans", lambda s: s["status"] != COPIED)
-    hits = found.select(F.col(id_col).alias("_id"), F.transform(hot, lambda s: F.struct(s["start"], s["end"])).alias("_spans")).filter(F.size("_spans") > 0)
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits["_id"]), "left")
+    hits = scan_secrets(rows, "_key", "_text", "_repo", "_owner", copied_owners).select(
+        F.col("_key").alias("_hit"), F.transform(hot, lambda s: F.struct(s["start"], s["end"])).alias("_spans")
+    )
+    hits = hits.filter(F.size("_spans") > 0).distinct()
+    joined = docs.join(hits, key.eqNullSafe(F.col("_hit")), "left")
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.when(
-            s["start"] >= acc["at"], F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))
-        ).otherwise(F.lit(""))
+        before = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        gap = F.when(s["start"] >= acc["at"], F.concat(before, F.lit(mask))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     clean = F.aggregate(

@@ -82,6 +82,17 @@ def test_copied_values_stay_and_live_ones_are_masked(spark):
         assert text is None if i == 9 else text == f"token = EXAMPLEKEY{'0' * 12} mine: [secret]"
 
 
+def test_pipeline_stages_take_odd_rows(spark, odd, none):
+    twice = spark.createDataFrame([(1, "password=abcdefghijklmnop", "s"), (1, "password=abcdefghijklmnop", "s"), (None, "x token=abcdefghijklmnopq", "s"), (1, "plain", "s")], "doc_id long, text string, source string")
+    assert rows_of(secret_scan.redact(twice), "text") == sorted([("[secret]",), ("[secret]",), ("x [secret]",), ("plain",)], key=repr)
+    labels = spark.createDataFrame([(0, 1), (4, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    for out in (secret_scan.redact(odd), quality.keep_good(odd, labels), jaccard_join.one_of_each(odd)):
+        assert out.columns == odd.columns and out.count() <= odd.count()
+    assert rows_of(secret_scan.redact(odd), "doc_id", "text") == rows_of(odd, "doc_id", "text")
+    for out in (secret_scan.redact(none), quality.keep_good(none, labels), jaccard_join.one_of_each(none)):
+        assert out.columns == none.columns and out.count() == 0
+
+
 def test_components_equal_the_plain_version(spark, none):
     r = random.Random(3)
     texts: dict[int, str | None] = {0: None, 1: "", 2: "one two", 3: "One  two", 4: "a b c d e", 5: "a b c d f"}
