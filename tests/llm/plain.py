@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -94,3 +95,44 @@ def fingerprint(text: str) -> tuple[int, ...]:
 
     # bins stand in the order of signed numbers: place 0 is bin 128
     return tuple((bins[b] if (b := (place - 128) % 256) in bins else donor(place)) & 15 for place in range(256))
+
+
+def letter_gains(counts: dict, asked: list[str], order: int, shared: int, discount: float) -> dict[str, float]:
+    """Log-likelihood difference of words under two Kneser-Ney models of letters that share their low orders."""
+    grams = {(label, m): {} for label in (0, 1) for m in range(1, order + 1)}
+
+    def places(word):
+        padded = "\x02" * order + word + "\x03"
+        return [padded[: i + 1] for i in range(order, len(padded))]
+
+    for label, of in counts.items():
+        for word, n in of.items():
+            for upto in places(word):
+                for m in range(1, order + 1):
+                    g = grams[label, m]
+                    g[upto[-m:]] = g.get(upto[-m:], 0) + n
+    n, total, kinds = {}, {}, {}
+    for label in (0, 1):
+        for m in range(1, order + 1):
+            source = [{**grams[0, k], **grams[1, k]} if m <= shared else grams[label, k] for k in (m, min(m + 1, order))]
+            for g in source[0]:
+                kinds[label, m, g[:-1]] = kinds.get((label, m, g[:-1]), 0) + 1
+            longer = source[1]
+            for g, c in longer.items():
+                g, c = (g, c) if m == order else (g[1:], 1)
+                n[label, m, g] = n.get((label, m, g), 0) + c
+                total[label, m, g[:-1]] = total.get((label, m, g[:-1]), 0) + c
+    out = {}
+    for word in asked:
+        gain = 0.0
+        for upto in places(word):
+            for label in (0, 1):
+                p = 1 / 1024
+                for m in range(1, order + 1):
+                    g = upto[-m:]
+                    t = total.get((label, m, g[:-1]), 0)
+                    if t:
+                        p = min(1.0, (max(n.get((label, m, g), 0) - discount, 0) + discount * min(kinds.get((label, m, g[:-1]), 0), t) * p) / t)
+                gain += math.log(max(p, 1e-12)) * (1 if label else -1)
+        out[word] = gain
+    return out

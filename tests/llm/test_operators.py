@@ -231,3 +231,25 @@ def test_token_counts_equal_the_library(spark, odd, none):
     want = sorted(((i, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in docs.collect()), key=repr)
     assert rows_of(token_counts.count_tokens(docs, path), "doc_id", "n_bytes", "n_tokens") == want
     assert token_counts.count_tokens(none, path).count() == 0
+
+
+def test_toxicity_counts_have_no_floor_limit_or_buckets(spark):
+    rows = [(1, "real", 200), (0, "real", 5), (0, "plain", 300), (1, "plain", 1), (1, "once", 1), (0, "other", 700_000)]
+    rows += [(1, f"chance{i}", 4) for i in range(70_000)]
+    words = spark.createDataFrame(rows, "_label int, word string, n long")
+    own = {r["word"]: r["own"] for r in toxicity.word_evidence(words).collect()}
+    assert len(own) == 70_004 and own["real"] > own["chance7"] > own["once"] > 0 > own["plain"]
+
+
+def test_letter_evidence_equals_the_plain_version(spark):
+    r = random.Random(4)
+    counts = {label: {"".join(r.choices(string.ascii_lowercase + "éü日", k=2 + i % 9)): 1 + i % 3 for i in range(20_000)} for label in (0, 1)}
+    rows = [(label, w, n) for label, of in counts.items() for w, n in of.items()]
+    words = spark.createDataFrame(rows, "_label int, word string, n long")
+    asked = ["zzqxj", "é日", "a", *[w for _, w, _ in rows[:20]], *[w for _, w, _ in rows[-20:]]]
+    vocabulary = spark.createDataFrame([(w,) for w in set(asked)], "word string")
+    expected = plain.letter_gains(counts, asked, toxicity.ORDER, toxicity.SHARED_ORDER, toxicity.DISCOUNT)
+    got = {r["word"]: r for r in toxicity.letter_evidence(words, vocabulary).collect()}
+    assert set(got) == set(asked)
+    for w, gain in expected.items():
+        assert got[w]["letters"] == len(w) + 1 and abs(got[w]["gain"] / toxicity._UNIT - gain) < 1e-4, w
