@@ -515,6 +515,15 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _named(_named(pairs, "u", labels), "v", labels).filter("_cu != _cv")
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, n2: int, carried: Column) -> DataFrame:
+    """Per row `carried` as _id, node, n_shingles and the node's component _cnode."""
+    kind, text = docs.schema[id_col].dataType, whole_text(text_col)
+    known = F.col(id_col).cast("long") if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else F.xxhash64(F.col(id_col))
+    node = F.when(F.col(id_col).isNull(), F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63)))).otherwise(known)
+    join = _Join(docs.select(carried.alias("_id"), node.alias("node"), text.alias("_text")), n2)
+    return _named(join.members.select("_id", "node", "n_shingles"), "node", join.components())
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n2: int = 2) -> DataFrame:
     """One row per input row: id, n_shingles and component_id, the smallest id that links lead to, itself included.
 
@@ -525,11 +534,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ignored; an empty table gives an empty result. Similarity is exact up to collisions of 64-bit hashes.
     """
     kind = docs.schema[id_col].dataType
-    text = whole_text(text_col)
-    known = F.col(id_col).cast("long") if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else F.xxhash64(F.col(id_col))
-    node = F.when(F.col(id_col).isNull(), F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63)))).otherwise(known)
-    join = _Join(docs.select(F.col(id_col).alias("_id"), node.alias("node"), text.alias("_text")), n2)
-    placed = _named(join.members.select("_id", "node", "n_shingles"), "node", join.components())
+    placed = _placed(docs, id_col, text_col, n2, F.col(id_col))
     # the smallest node is the smallest id already, but for other id types and rows without an id
     least = placed.groupBy("_cnode").agg(F.min("_id").alias("_least")).filter(~F.col("_least").cast("string").eqNullSafe(F.col("_cnode").cast("string")))
     own = F.when(F.col("_renamed"), F.col("_least")).otherwise(F.col("_cnode").cast(kind))
@@ -538,10 +543,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the row of the smallest id of each component; rows without an id and without a partner stay.
+    """`docs` with one row of each component: of the rows of its smallest id, or of its rows if none has an id, one.
 
-    Of rows that share that id one stays. Which ids stay is a narrow table; texts move once, for the join with it.
+    Rows of that id with words come first, then the smallest hash of the text decides; of rows equal in both any one
+    stays. Rows without an id and without words are partners of nothing and stay. Which rows stay is a narrow table
+    of ids and hashes; texts move once, for the join with it, and again only where rows repeat.
     """
-    groups = jaccard_components(docs, id_col, text_col)
-    kept = groups.filter((F.col(id_col) == F.col("component_id")) | F.col("component_id").isNull()).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("hash"))
+    rows = _placed(docs, id_col, text_col, 2, key).select("_cnode", "_id.id", "_id.hash", (F.col("n_shingles") == 0).alias("bare"))
+    lost = F.col("id").isNull() & F.col("bare")
+    copies = rows.filter(~lost).groupBy("_cnode", "id", "bare", "hash").agg(F.count(F.lit(1)).alias("n"))
+    first = copies.groupBy("_cnode").agg(F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "bare", "hash", "n")).alias("_f"))
+    chosen = first.select("_f.id", "_f.hash", (F.col("_f.n") > 1).alias("_repeats"))
+    chosen = chosen.unionByName(rows.filter(lost).select("id", "hash", F.lit(False).alias("_repeats")).distinct())
+    kept = materialise(chosen.select(F.struct("id", "hash").alias("_kept"), "_repeats"))
+    stay = docs.join(kept.filter("not _repeats"), key.eqNullSafe(F.col("_kept")), "left_semi")
+    repeats = kept.filter("_repeats")
+    if repeats.isEmpty():
+        return stay
+    held = docs.join(repeats, key.eqNullSafe(F.col("_kept"))).select("_kept", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return stay.unionByName(held.groupBy("_kept").agg(F.first("_row").alias("_row")).select("_row.*"))

@@ -204,21 +204,39 @@ def score_quality(
     score of `fit_rules` for them. Texts are read once; what follows works on the table of statistics. Only rule
     weights and tree nodes reach the driver.
     """
-    measured = materialise(measure(docs, text_col, {"_id": F.col(id_col)}))
+    scored = _scored(docs, labels, id_col, text_col, label_col, folds, held_out_fold, max_training_rows, {})
+    return scored.select(F.col("_id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _scored(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_out_fold: int, max_training_rows: int, keep: dict[str, Column]
+) -> DataFrame:
+    """_id, held_out, score and the columns of `keep` per row."""
+    measured = materialise(measure(docs, text_col, {"_id": F.col(id_col), **keep}))
     fold = F.crc32(F.col("_id").cast("string").cast("binary")) % folds
     known = labels.select(F.col(id_col).alias("_labelled"), F.col(label_col).alias("label")).filter(F.col("label").isNotNull())
     training = measured.filter(fold != held_out_fold).join(known, F.col("_id") == F.col("_labelled")).select("_id", "_stats", "label")
     sample = materialise(bounded_sample(materialise(training), "_id", max_training_rows))
     model = fit_rules(sample)
-    scored = measured.select(F.col("_id"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), model.score().alias("score"))
-    return scored.select(F.col("_id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return measured.select("_id", *keep, F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), model.score().alias("score"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    folds: int = 4,
+    held_out_fold: int = 2,
+    threshold: float = 0.7,
+    max_training_rows: int = 20_000,
+) -> DataFrame:
     """`docs` without the rows that `score_quality` rejects, all columns as they are.
 
-    Rows with an id that repeats stay if one of its texts is good; rows without an id are kept by their score alike.
+    Rows that repeat and rows without an id are kept or dropped each by their own text.
     """
-    good = score_quality(docs.select(id_col, text_col), labels, id_col, text_col, **options).filter("predicted = 1")
-    kept = good.select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    text = F.xxhash64(whole_text(text_col))
+    scored = _scored(docs, labels, id_col, text_col, label_col, folds, held_out_fold, max_training_rows, {"_hash": text})
+    kept = scored.filter(F.col("score") >= threshold).select(F.struct(F.col("_id").alias("id"), F.col("_hash").alias("text")).alias("_kept")).distinct()
+    return docs.join(kept, F.struct(F.col(id_col).alias("id"), text.alias("text")).eqNullSafe(F.col("_kept")), "left_semi")

@@ -253,3 +253,19 @@ def test_letter_evidence_equals_the_plain_version(spark):
     assert set(got) == set(asked)
     for w, gain in expected.items():
         assert got[w]["letters"] == len(w) + 1 and abs(got[w]["gain"] / toxicity._UNIT - gain) < 1e-4, w
+
+
+def test_one_row_of_each_component_stays(spark):
+    same, other, lone = sentence(900, 60), sentence(901, 60), sentence(902, 60)
+    near = " ".join([*same.split()[:-1], "changed"])
+    rows = [(3, same, "a"), (3, same, "b"), (3, "", "c"), (5, near, "d"), (None, same, "e"), (None, other, "f"), (None, other, "g"), (None, lone, "h"), (8, lone, "i"), (None, "", "j"), (9, "", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    got = rows_of(jaccard_join.one_of_each(df), "doc_id", "text")
+    assert got == sorted([(3, same), (None, other), (8, lone), (None, ""), (9, "")], key=repr)
+
+
+def test_rows_without_an_id_are_kept_by_their_own_text(spark):
+    rows = [(i, sentence(i, 40) if i % 2 else "$$$ !!! ### " * 20) for i in range(200)] + [(None, sentence(991, 40)), (None, "$$$ !!! ### " * 21)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    assert rows_of(quality.keep_good(df, labels).filter("doc_id is null"), "text") == [(sentence(991, 40),)]
