@@ -111,3 +111,18 @@ def test_perceptron_classifier(spark):
     scored = evaluation.predict_proba(model, df.withColumn("k", F.lit(1)))
     assert scored.columns == ["label", "k", "score"]
     assert evaluation.roc_auc(scored).first().auc > 0.9
+
+
+def test_communities_run_until_no_merge_gains(spark):
+    """On a long path no merge of two linked clusters raises modularity."""
+    path = [(i, i + 1, 1.0) for i in range(600)]
+    edges = spark.createDataFrame(path, "src long, dst long, w double")
+    found = {r["id"]: r["cluster"] for r in community.communities(edges).collect()}
+    m2, tot = 2.0 * len(path), {}
+    for a, b, w in path:
+        for x in (a, b):
+            tot[found[x]] = tot.get(found[x], 0.0) + w
+    across = {(found[a], found[b]) for a, b, _ in path if found[a] != found[b]}
+    assert all(1.0 - tot[a] * tot[b] / m2 <= 1e-9 for a, b in across)
+    with pytest.raises(RuntimeError):
+        community.communities(edges, max_rounds=1)
