@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import seqweave.llm
+from seqweave.llm import quality_rules as rules
 from seqweave.llm.chat_format import format_conversations, read_back
 from seqweave.llm.common import read_table, whole_text
 from seqweave.llm.decontamination import contamination
 from seqweave.llm.fingerprints import as_hex, fingerprint, likeness
 from seqweave.llm.jaccard_join import jaccard_components
 from seqweave.llm.license_scan import BASE_PHRASES, scan_licenses
+from seqweave.llm.merkle import fold_witnesses, leaf_digest, manifest
 from seqweave.llm.packing import pack
 from seqweave.llm.quality import score_quality
 from seqweave.llm.secret_scan import BASE_KINDS, COPIED, LIVE, MIXED_KIND, scan_secrets
@@ -192,3 +194,96 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text under the word-end vocabulary."""
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@query
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every text after its failed lines are removed."""
+    return rules.clean_lines(documents(spark, sf_dir)).drop("cleaned")
+
+
+def _quality_rules_sql() -> str:
+    def q(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    def hits(pattern: str, text: str) -> str:
+        return f"len(regexp_extract_all({text}, {q(pattern)}))"
+
+    low = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    between = hits(rules.SEPARATOR, "low")
+    return f"""with t as (select doc_id, coalesce(text, '') as text from documents),
+    w as (select doc_id, text, regexp_extract_all(text, {q(rules.WORD)}) as words from t),
+    o as (select doc_id, len(words) as n_words, coalesce(list_sum([length(x) for x in words]), 0)::bigint as word_chars, {hits(rules.SYMBOL, "text")} as n_symbols from w),
+    h as (select doc_id, unnest(words) as a, unnest(range(1, len(words) + 1)) as i from w),
+    g as (select doc_id, i, a, lead(a) over d as b, lead(a, 2) over d as c from h window d as (partition by doc_id order by i)),
+    v as (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as n from g where c is not null),
+    r as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as k from v where n > 1) group by 1),
+    s as (select doc_id, string_split(text, chr(10)) as lines from t),
+    l as (select doc_id, unnest(lines) as line from s),
+    m as (select doc_id, line, {low} as low, regexp_extract_all(line, {q(rules.WORD)}) as words from l),
+    n as (select doc_id, line, len(words) as n, list_sum([length(x) for x in words]) as size,
+        not regexp_matches(low, {q(rules.SENTENCE_END)}) or {rules.MARK_SHARE} * {hits(rules.MARK_RUN, "low")} > len(words) as a,
+        (len(words) <= {rules.MENU_WORDS} and regexp_matches(low, {q(rules.MENU)})) or ({between} >= {rules.SEPARATORS_LEAST} and {rules.MARK_SHARE} * {between} > len(words)) as b,
+        regexp_matches(low, {q(rules.BOILERPLATE)}) as c from m where len(words) > 0),
+    f as (select doc_id, count(*) - count(distinct line) as n_dup_lines, count(*) as n_lines, count(*) filter (a) as n_punctuation, count(*) filter (b) as n_navigation,
+        count(*) filter (c) as n_boilerplate, coalesce(sum(size) filter (a or b or c), 0)::bigint as lost_chars from n group by 1),
+    z as (select o.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines,
+        coalesce(n_punctuation, 0) as n_punctuation, coalesce(n_navigation, 0) as n_navigation, coalesce(n_boilerplate, 0) as n_boilerplate, coalesce(lost_chars, 0) as lost_chars
+        from o left join r using (doc_id) left join f using (doc_id))
+    select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * lost_chars <= 50 * word_chars as kept from z"""
+
+
+SQL["op12_quality_rules"] = _quality_rules_sql()
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's leaf, roots and proof, and the root that a partly tampered table folds to."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = leaf_digest([*columns[:3], F.expr("try_add(cast(n_chars as bigint), 1L)"), "text"])
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    proved = manifest(documents(spark, sf_dir), columns, "lang", "doc_id", {"tampered": F.when(chosen, tampered)})
+    folded = fold_witnesses(proved, F.coalesce("tampered", "leaf"))
+    return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    octets = f"[('0x' || substr(hex({text}), 2 * i - 1, 2))::bigint for i in range(1, strlen({text}) + 1)]"
+    byte = "list_reduce(list_prepend(xor(a, b), [0::bigint for j in range(0, 8)]), lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda a, b: {byte}), 4294967295)"
+
+
+def _merkle_sql() -> str:
+    """The same trees level by level: a node's parent is the digest of its run of two."""
+
+    def leaf(n_chars: str) -> str:
+        fields = ["cast(doc_id as varchar)", "source", "lang", f"cast({n_chars} as varchar)", "text"]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    def tree(name: str, start: str) -> str:
+        parents = f"select k, lv + 1, i // 2, sha256(string_agg(d, '' order by i)), (any_value(n) + 1) // 2 from {name} where n > 1 group by k, lv, i // 2"
+        return f"{name}(k, lv, i, d, n) as ({start} union all {parents})"
+
+    step = "case when o.d is null then '-' when o.i < {i} then '<' || o.d else '>' || o.d end"
+    return f"""with recursive l as (select doc_id, coalesce('=' || lang, '') as k, row_number() over (partition by lang order by doc_id) - 1 as i, {leaf("n_chars")} as leaf,
+        case when {_crc32_sql("cast(doc_id as varchar)")} % 7 = 0 then {leaf("(n_chars + 1)")} end as tampered from documents),
+    {tree("t", "select k, 0::bigint, i, leaf, count(*) over (partition by k) from l")},
+    s as (select k, d as subroot from t where n = 1),
+    r as (select k, row_number() over (order by k) - 1 as i, subroot from s),
+    {tree("u", "select '', 0::bigint, i, subroot, count(*) over () from r")},
+    lower as (select l.doc_id, x.lv, {step.format(i="(l.i >> x.lv)")} as step from l join (select distinct k, lv from t where n > 1) x on x.k = l.k
+        left join t o on o.k = l.k and o.lv = x.lv and o.i = xor(l.i >> x.lv, 1)),
+    higher as (select r.k, x.lv, {step.format(i="(r.i >> x.lv)")} as step from r cross join (select distinct lv from u where n > 1) x
+        left join u o on o.lv = x.lv and o.i = xor(r.i >> x.lv, 1)),
+    a as (select doc_id, list(step order by lv) as steps from lower group by 1),
+    b as (select k, list(step order by lv) as steps from higher group by 1),
+    f as (select l.doc_id, leaf, tampered, subroot, (select d from u where n = 1) as root, list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) as steps
+        from l join s using (k) left join a on a.doc_id = l.doc_id left join b on b.k = l.k),
+    g as (select *, list_reduce(list_prepend(coalesce(tampered, leaf), steps), lambda h, p:
+        case p[1] when '<' then sha256(p[2:] || h) when '>' then sha256(h || p[2:]) else sha256(h) end) as folded_root from f)
+    select doc_id, leaf, subroot, root, sha256(array_to_string([p[2:] for p in steps if p <> '-'], '')) as proof_sha256, folded_root, folded_root = root as verified from g"""
+
+
+SQL["op13_merkle_manifest"] = _merkle_sql()
