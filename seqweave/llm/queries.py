@@ -21,6 +21,7 @@ from seqweave.llm.merkle import fold_witnesses, leaf_digest, manifest
 from seqweave.llm.packing import pack
 from seqweave.llm.quality import score_quality
 from seqweave.llm.secret_scan import BASE_KINDS, COPIED, LIVE, MIXED_KIND, scan_secrets
+from seqweave.llm.spelling import spelling_variants, vocabulary
 from seqweave.llm.token_counts import count_tokens
 from seqweave.llm.toxicity import score_toxicity
 from seqweave.operators.ordering import global_rank
@@ -196,6 +197,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words, the form it varies and the root of its chain of forms."""
+    words = materialise(vocabulary(documents(spark, sf_dir)))
+    return spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every text after its failed lines are removed."""
@@ -286,4 +294,25 @@ def _merkle_sql() -> str:
     select doc_id, leaf, subroot, root, sha256(array_to_string([p[2:] for p in steps if p <> '-'], '')) as proof_sha256, folded_root, folded_root = root as verified from g"""
 
 
+def _spelling_sql() -> str:
+    """Near words share what is left after one letter is taken out, of one word or of both at the same place."""
+    h = _crc32_sql("doc_id || ':' || w")
+    return f"""with recursive t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+    o as (select doc_id, w, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[a-z\u00c0-\u00ff]+')) as w from t) group by 1, 2),
+    h as (select w, n, coalesce({h}, 1) as h from o),
+    d as (select case when h % 97 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, n from h),
+    v as (select word, sum(n)::bigint as n from d where length(word) >= 5 group by 1 having sum(n) >= 3),
+    c as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as r from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+    p as (select a.word, b.word as near, b.n as near_n from c a join c b on a.r = b.r and a.i = b.i and a.word <> b.word
+        union select c.word, v.word, v.n from c join v on v.word = c.r union select v.word, c.word, c.n from c join v on v.word = c.r),
+    b as (select word, count(*) as n_near, min(struct_pack(less := -near_n, near := encode(near))) as best from p group by 1),
+    f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when -best.less >= 2 * v.n then decode(best.near) end as form, case when -best.less >= 2 * v.n then -best.less end as form_n
+        from v left join b using (word)),
+    e(word, root, form) as (select word, word, form from f union all select e.word, f.word, f.form from e join f on f.word = e.form)
+    select f.word, f.form, e.root, f.n, f.n_near, f.form_n from f join e on e.word = f.word and e.form is null"""
+
+
+SQL["op11_spelling_variants"] = _spelling_sql()
+
+
 SQL["op13_merkle_manifest"] = _merkle_sql()
