@@ -13,7 +13,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.operators.ordering import global_rank
@@ -119,6 +119,21 @@ def _descend(levels: list[DataFrame], tops: DataFrame, facts: Sequence[str]) ->
     return above
 
 
+def _placed(leaves: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add every leaf's place in its tree and the tree's size.
+
+    One range sort over all trees, written once; the table joined back has a row for every tree in every sort
+    partition, so that the leaves of a large tree are not gathered by its name.
+    """
+    sorted_once = materialise(leaves.orderBy("_tree", *order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = sorted_once.withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy("_tree", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    tree = Window.partitionBy("_tree")
+    before = F.sum("_n").over(tree.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("_tree", "_part", "_first", F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_n").over(tree).alias("_size"))
+    return placed.join(starts, ["_tree", "_part"]).withColumn("_pos", F.col("_start") + F.col("_at") - F.col("_first"))
+
+
 def manifest(rows: DataFrame, columns: Sequence[str], tree: str, order: str, carry: dict[str, Column] | None = None) -> DataFrame:
     """One row (`order`, `carry`, leaf, subroot, root, path, witness, place) for every row of a table.
 
@@ -136,9 +151,7 @@ def manifest(rows: DataFrame, columns: Sequence[str], tree: str, order: str, car
     names = [order, *carry, "leaf"]
     key = F.coalesce(F.concat(F.lit("="), F.col(tree).cast("string")), F.lit("")).alias("_tree")
     leaves = materialise(rows.select(order, *[c.alias(n) for n, c in carry.items()], leaf_digest(columns).alias("leaf"), key))
-    ranked = global_rank(leaves, ["_tree", order, "leaf"], "_rank")
-    trees = ranked.groupBy("_tree").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_size"))
-    nodes = ranked.join(trees, "_tree").select(*names, "_tree", (F.col("_rank") - F.col("_first")).alias("_pos"), "_size", F.col("leaf").alias("_digest"))
+    nodes = _placed(leaves, [order, "leaf"]).select(*names, "_tree", "_pos", "_size", F.col("leaf").alias("_digest"))
     levels, subroots = _climb(nodes)
     subroots = materialise(subroots)  # one row a tree
     ranked = global_rank(subroots, ["_tree"], "_pos")
