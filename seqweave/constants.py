@@ -35,13 +35,13 @@ RANKING_K = (50, 100)
 SIGNIFICANCE_LEVEL = 0.05
 SPLIT_RATIOS = {"train": 0.1, "val": 0.1, "test": 0.8}
 HOLDOUT_FRACTION = 0.2
+HIDDEN_WIDTHS = (128, 64)
 
 TOKEN_VECTOR_DIM = 100
 TOKEN_WINDOW = 5
 TOKEN_MIN_COUNT = 1
 TOKEN_EPOCHS = 5
 
-MODEL_MAX_LENGTH = 1024
 MODEL_BATCH_SIZE = 16
 PCA_TARGET_DIM = 64
 # ----------------------------------------------------------------------------

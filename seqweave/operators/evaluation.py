@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seqweave import constants as C
 from seqweave.functions.seeded import seeded_hash
 from seqweave.functions.vectors import argmax
+from seqweave.operators.fold_models import FoldModels, fit_fold_classifiers, score_folds
 from seqweave.operators.ordering import global_rank, running_totals
 from seqweave.session import materialise
 
@@ -25,30 +26,30 @@ def fit_pair_classifier(
     features: DataFrame,
     weights: DataFrame | None = None,
     kind: str = "logistic",
-    hidden: Sequence[int] = (128, 64),
+    hidden: Sequence[int] = C.HIDDEN_WIDTHS,
     max_iter: int = 100,
     reg: float = 1e-5,
     seed: int = 42,
 ):
     """Binary classifier on `(features ARRAY, label)`; `weights` is `(label, weight)` for class balance.
 
-    `logistic` supports weights; `mlp` is MLlib's perceptron with the given hidden widths.
+    `logistic` is MLlib's regression; `mlp` is a network with the given hidden widths. Both honour the weights.
     """
-    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    data = features.select(
-        F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")
-    )
+    # class weights are two rows
+    by_class = {int(r["label"]): float(r["weight"]) for r in weights.collect()} if weights is not None else {}
     if kind == "mlp":
-        width = features.select(F.size("features")).first()[0]
-        layers = [int(width), *[int(h) for h in hidden], 2]
-        return MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=seed).fit(data)
+        rows = features.select("features", "label", F.lit(-1).alias("fold"))
+        pair = (by_class[0], by_class[1]) if by_class else (1.0, 1.0)
+        return fit_fold_classifiers(rows, 1, hidden, class_weights=pair, max_iter=max_iter, reg=reg, seed=seed)
     if kind != "logistic":
         raise ValueError(f"unknown classifier {kind!r}")
-    # class weights are two rows; joining them is a broadcast of two rows
-    if weights is not None and not weights.isEmpty():
-        by_class = {int(r["label"]): float(r["weight"]) for r in weights.collect()}
+    data = features.select(
+        F.col("label").cast("double").alias("label"), array_to_vector("features").alias("features")
+    )
+    if by_class:
         data = data.withColumn("weight", F.when(F.col("label") == 1, by_class[1]).otherwise(by_class[0]))
         return LogisticRegression(maxIter=max_iter, regParam=reg, weightCol="weight").fit(data)
     return LogisticRegression(maxIter=max_iter, regParam=reg).fit(data)
@@ -59,6 +60,8 @@ def predict_proba(model, features: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     kept = [c for c in features.columns if c != "features"]
+    if isinstance(model, FoldModels):
+        return score_folds(model, features.withColumn("_fold", F.lit(0)), "_fold").select(*kept, "score")
     scored = model.transform(features.withColumn("features", array_to_vector("features")))
     return scored.select(*kept, vector_to_array("probability")[1].alias("score"))
 

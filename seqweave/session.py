@@ -63,7 +63,23 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that `materialise` wrote, once what was made of them has been written itself.
+
+    Anything still to be computed from them would fail, so only results of `materialise` that have been replaced by
+    another are given here; other frames and None are left alone.
+    """
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path:
+            sc = table.sparkSession.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame, target: int | None = None) -> DataFrame:

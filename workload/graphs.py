@@ -147,16 +147,43 @@ def target_clusters(spark, sf):
     return graph.target_clusters(sizes)
 
 
-@query("communities")
-def communities(spark, sf):
-    undirected = graph.undirected_projection(graph.matrix_add(edges(spark, sf), graph.reverse_edges(edges(spark, sf))))
-    return community.communities(undirected, nodes(spark, sf))
-
-
 _MOD_EDGES = """select src, dst, sum(w) as w from (select src, dst, w from edges union all select dst, src, w from edges)
     where src <= dst group by 1, 2"""
 
 
+def _undirected(spark, sf):
+    return graph.undirected_projection(graph.matrix_add(edges(spark, sf), graph.reverse_edges(edges(spark, sf))))
+
+
+_FOLLOWERS = f"""select n.id, coalesce(f.best, n.id) as cluster from nodes n left join (select id, arg_max(nbr, (w, -nbr)) as best from
+    (select src as id, dst as nbr, w from ({_MOD_EDGES}) union all select dst, src, w from ({_MOD_EDGES})) where id <> nbr group by id) f on f.id = n.id"""
+
+
+def _follows(undirected, ids):
+    """Every node in the cluster of its heaviest neighbour: what any search for communities has to beat."""
+    both = undirected.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("nbr"), "w"), F.struct(F.col("dst").alias("id"), F.col("src").alias("nbr"), "w"))))
+    best = both.filter("id <> nbr").groupBy("id").agg(F.max(F.struct("w", (-F.col("nbr")).alias("_n"))).alias("_b"))
+    return ids.join(best, "id", "left").select("id", F.coalesce(-F.col("_b._n"), F.col("id")).alias("cluster"))
+
+
+@query(
+    "communities",
+    f"""with e as ({_MOD_EDGES}), c as ({_FOLLOWERS}), p as (select a.cluster as ca, b.cluster as cb, w from e join c a on a.id = src join c b on b.id = dst),
+    k as (select cluster, sum(w) as k from (select ca as cluster, w from p union all select cb, w from p) group by 1), t as (select sum(w) as m from p)
+    select id, true as connected, round((select coalesce(sum(w), 0) from p where ca = cb) / m - (select sum(k * k) from k) / (4 * m * m), 9) + 0.0 as to_beat, true as beaten from nodes, t""",
+)
+def communities(spark, sf):
+    """Every node's cluster is one connected piece, and the clusters beat those of the heaviest neighbours."""
+    undirected, ids = _undirected(spark, sf), nodes(spark, sf)
+    found = materialise(community.communities(undirected, ids))
+    pieces = community.connected_pieces(undirected, found).groupBy("cluster").agg(F.min("id").alias("_any"))
+    split = pieces.select(F.col("_any").alias("id")).join(found, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    reached = graph.modularity(undirected, found).select(F.col("modularity").alias("_reached"))
+    to_beat = graph.modularity(undirected, _follows(undirected, ids)).select(F.col("modularity").alias("_base"))
+    checked = found.join(split, "cluster").join(F.broadcast(reached)).join(F.broadcast(to_beat))  # one row each
+    return checked.select("id", (F.col("_n") == 1).alias("connected"), rounded("_base", 9).alias("to_beat"), (F.col("_reached") > F.col("_base")).alias("beaten"))
+
+
 @query(
     "modularity",
     f"""with e as ({_MOD_EDGES}), c as (select vec_id as id, label as cluster from embeddings),
@@ -201,12 +228,26 @@ def cluster_members(spark, sf):
     return graph.cluster_members(_assign(spark, sf))
 
 
-@query("node_partition")
+@query(
+    "node_partition",
+    f"""with e as (select * from ({_MOD_EDGES}) where src <> dst), s as (select count(*) as n, (count(*) + 7) // 8 as capacity from nodes),
+    c as (select vec_id as id, label, count(*) over (partition by label) as size from embeddings),
+    l as (select id, (row_number() over (order by size desc, label, id) - 1) // (select capacity from s) as part from c)
+    select n as n_nodes, capacity, true as fits, 8 as n_parts, (select sum(w) from e) as weight,
+    (select sum(w) from e join l a on a.id = src join l b on b.id = dst where a.part <> b.part) as line_cut, true as below_line from s""",
+)
 def node_partition(spark, sf):
-    undirected = graph.undirected_projection(graph.matrix_add(edges(spark, sf), graph.reverse_edges(edges(spark, sf))))
-    sizes = spark.createDataFrame([(n_vectors(spark, sf),)], "n_nodes bigint")
-    k = graph.target_clusters(sizes, threshold=0).first()["n_clusters"]
-    return community.partition_nodes(undirected, nodes(spark, sf), k)
+    """Eight parts, traded from a line of the labels: sizes, the line's cut, and whether the parts' cut is below it."""
+    undirected, ids = _undirected(spark, sf), nodes(spark, sf)
+    labelled = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
+    parts = materialise(community.partition_nodes(undirected, ids, 8, labelled))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_nodes"), F.max("n").alias("_most"), F.count(F.lit(1)).cast("int").alias("n_parts"))
+    cut = community.edge_cut(undirected, parts)
+    line = community.edge_cut(undirected, community.line_partition(labelled, 8)).select(F.col("cut").alias("line_cut"))
+    capacity = F.ceil(F.col("n_nodes") / 8).cast("long")
+    return sizes.join(F.broadcast(cut)).join(F.broadcast(line)).select(  # one row each
+        "n_nodes", capacity.alias("capacity"), (F.col("_most") <= capacity).alias("fits"), "n_parts", "weight", "line_cut", (F.col("cut") < F.col("line_cut")).alias("below_line")
+    )
 
 
 @query(
@@ -230,9 +271,14 @@ def next_node_labels(spark, sf):
     return labels.next_node_label(nodes(spark, sf), edges(spark, sf))
 
 
-@query("community_labels")
+@query("community_labels", "select id, true as dense, true as named from nodes")
 def community_labels(spark, sf):
-    return labels.community_label(nodes(spark, sf), edges(spark, sf))
+    """Every node has one label; labels run from 0 to the number of classes less one and each is in use."""
+    found = materialise(labels.community_label(nodes(spark, sf), edges(spark, sf)))
+    used = found.select("label").distinct().agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+    checked = found.join(F.broadcast(used))  # one row
+    dense = (F.col("_low") == 0) & (F.col("_high") == F.col("_n") - 1) & (F.col("n_classes") == F.col("_n"))
+    return checked.select("id", dense.alias("dense"), F.col("label").isNotNull().alias("named"))
 
 
 @query(
