@@ -10,6 +10,7 @@ from seqweave.plans.evaluate import cross_validate, sanity_eval
 from seqweave.session import scratch_path
 from seqweave.sources import tables
 from seqweave.sources.fasta import count_bad_records, read_fasta, read_fasta_dir, write_fasta
+from workload.pairs import _RANK as RANK
 from workload.registry import edges, emb, fold_scores, nodes, pairs, query, rounded, scored, seqs, table
 
 _MD5 = "md5(concat('42:', p1, ':', p2))"
@@ -257,20 +258,42 @@ def pair_classifier_scores(spark, sf):
     from seqweave.session import materialise
 
     data = materialise(P.pair_features(pairs(spark, sf), emb(spark, sf).select("key", "vec"), "hadamard"))
-    model = E.fit_pair_classifier(data, S.class_weights(data), max_iter=20)
+    model = E.fit_pair_classifier(data, S.class_weights(data))
     return E.predict_proba(model, data).select("p1", "p2", "label", rounded("score").alias("score"))
 
 
 @query("cross_validation")
 def cross_validation(spark, sf):
     e = emb(spark, sf).select("key", "vec")
-    metrics, _ = cross_validate(pairs(spark, sf), {"vectors": e}, k=3, method="hadamard", max_iter=15)
+    metrics, _ = cross_validate(pairs(spark, sf), {"vectors": e}, method="hadamard")
     return metrics.select("model", "fold", "metric", rounded("value").alias("value"))
 
 
+@query(
+    "fold_fits",
+    f"""with f as (select label, cast(({RANK}) % 5 as int) as fold from pairs), k as (select unnest(range(5)) as fold),
+    c as (select k.fold, count(*) as n_train, count(*) filter (label = 1) as pos from k join f on f.fold <> k.fold group by 1)
+    select fold, n_train, round(n_train / (2.0 * (n_train - pos)), 9) + 0.0 as w_neg, round(n_train / (2.0 * pos), 9) + 0.0 as w_pos, true as flat, true as below_chance from c""",
+)
+def fold_fits(spark, sf):
+    """The jointly fitted models of five folds: training rows, class weights, a gradient of zero, a loss below that of guessing."""
+    from seqweave.operators import pairs as P
+    from seqweave.operators import splits as S
+    from seqweave.operators.fold_models import fit_fold_classifiers
+    from seqweave.session import materialise
+
+    data = materialise(P.pair_features(S.stratified_kfold(pairs(spark, sf)), emb(spark, sf).select("key", "vec"), "hadamard"))
+    models = fit_fold_classifiers(data, 5, tol=1e-5)
+    fits = [(j, *models.class_weights[j], models.gradients[j] <= 1e-5, models.losses[j] < 0.69315) for j in range(5)]
+    train = S.class_distribution(data).filter("side = 'train'").groupBy("fold").agg(F.sum("n").alias("n_train"))
+    return spark.createDataFrame(fits, "fold int, w_neg double, w_pos double, flat boolean, below_chance boolean").join(train, "fold").select(
+        "fold", "n_train", rounded("w_neg", 9).alias("w_neg"), rounded("w_pos", 9).alias("w_pos"), "flat", "below_chance"
+    )
+
+
 @query("single_split_check")
 def single_split_check(spark, sf):
-    return sanity_eval(pairs(spark, sf), emb(spark, sf).select("key", "vec"), max_iter=20)
+    return sanity_eval(pairs(spark, sf), emb(spark, sf).select("key", "vec"))
 
 
 # --- files ------------------------------------------------------------------
