@@ -45,31 +45,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of its edited text, whose last quarter comes from the next document."""
-    docs = documents(spark, sf_dir).select("doc_id", whole_text("text").alias("text"))
-    ranked = materialise(global_rank(docs.select("doc_id", F.length("text").alias("n_chars")), ["doc_id"], "_rank"))
+    """Fingerprints of every text and of its edited text, whose last quarter comes from the next document.
+
+    Rows without an id come first; rows of the same id follow each other in the order of a digest of their texts.
+    Repeated rows are documents of their own, each the next of the one before.
+    """
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), whole_text("text")))
+    docs = documents(spark, sf_dir).select("doc_id", whole_text("text").alias("text"), key.alias("_key"))
+    ranked = materialise(global_rank(docs.select("doc_id", "_key", F.length("text").alias("n_chars")), ["doc_id", "_key"], "_rank"))
     n = max(ranked.count(), 1)
-    after = ranked.select(((F.col("_rank") + (n - 1)) % n).alias("_rank"), F.col("doc_id").alias("next_id"))
-    links = materialise(ranked.join(after, "_rank").select("doc_id", "next_id", F.floor(F.col("n_chars") / 4).cast("int").alias("_quarter")))
-    heads = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("_before"), "_quarter").join(docs, "doc_id")
-    heads = heads.select(F.col("_before").alias("doc_id"), "_quarter", F.substring(F.col("text"), F.lit(1), F.col("_quarter")).alias("_head"))
+    after = ranked.select(((F.col("_rank") + (n - 1)) % n).alias("_rank"), F.col("_key").alias("_next"))
+    pairs = ranked.join(after, "_rank").groupBy("_key", "_next", "doc_id", "n_chars").agg(F.count(F.lit(1)).alias("_copies"))
+    links = materialise(pairs.withColumn("_quarter", F.floor(F.col("n_chars") / 4).cast("int")))
+    texts = docs.groupBy("_key").agg(F.any_value("text").alias("text"))
+    asked = links.select(F.col("_next").alias("_key"), F.col("_key").alias("_before"), "doc_id", "_quarter", "_copies").join(texts, "_key")
+    head = F.substring(F.col("text"), F.lit(1), F.col("_quarter"))
+    heads = asked.select(F.col("_before").alias("_key"), F.col("_key").alias("_next"), "doc_id", "_quarter", "_copies", head.alias("_head"))
     kept = F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("_quarter"))
-    both = docs.join(heads, "doc_id").select("doc_id", "text", F.concat(kept, F.col("_head")).alias("edited"))
+    both = texts.join(heads, "_key").select("_key", "_next", "doc_id", "_copies", "text", F.concat(kept, F.col("_head")).alias("edited"))
     facts = [F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")]
-    prints = materialise(both.select("doc_id", *facts, *[fingerprint(c).alias(f"{c}_fingerprint") for c in ("text", "edited")]))
-    following = prints.select(F.col("doc_id").alias("next_id"), F.col("text_fingerprint").alias("_next"))
-    return (
-        prints.join(links.select("doc_id", "next_id"), "doc_id")
-        .join(following, "next_id")
-        .select(
-            "doc_id",
-            "n_chars",
-            "edited_sha256",
-            as_hex("text_fingerprint").alias("fingerprint"),
-            as_hex("edited_fingerprint").alias("edited_fingerprint"),
-            likeness("text_fingerprint", "edited_fingerprint").alias("near_edited"),
-            likeness("text_fingerprint", "_next").alias("near_next"),
-        )
+    prints = materialise(both.select("_key", "_next", "doc_id", "_copies", *facts, *[fingerprint(c).alias(f"{c}_fingerprint") for c in ("text", "edited")]))
+    following = prints.groupBy(F.col("_key").alias("_next")).agg(F.any_value("text_fingerprint").alias("_following"))
+    each = prints.join(following, "_next").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return each.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        as_hex("text_fingerprint").alias("fingerprint"),
+        as_hex("edited_fingerprint").alias("edited_fingerprint"),
+        likeness("text_fingerprint", "edited_fingerprint").alias("near_edited"),
+        likeness("text_fingerprint", "_following").alias("near_next"),
     )
 
 

@@ -7,6 +7,7 @@ distinct pre-token and worker.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -27,6 +28,18 @@ WORD_END = "</w>"
 _CACHE_LIMIT = 1_000_000
 
 
+def without_normalizer(path: str):
+    """The vocabulary's encoder for text that is normalised already.
+
+    NFC is not idempotent under lower-casing: a capital that falls apart when lower-cased frees marks that a second
+    NFC would put in another order.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    return Tokenizer.from_str(json.dumps({**parts, "normalizer": None}))
+
 
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-ins of the 256 bytes: Latin-1 letters and signs stand for themselves, the rest follow from 256."""
@@ -43,7 +56,7 @@ def normalise(text: str) -> str:
 
 
 def proved_whole_tokens(tokenizer) -> frozenset[str]:
-    """Vocabulary strings that, as a text of their own, are encoded as exactly that one token."""
+    """Vocabulary strings that, as a normalised text of their own, are encoded as exactly that one token."""
     alphabet, words, ids = byte_alphabet(), [], []
     for entry, i in tokenizer.get_vocab(with_added_tokens=False).items():
         if entry.endswith(WORD_END) and all(c in alphabet for c in entry[: -len(WORD_END)]):
@@ -64,9 +77,7 @@ class PreTokenCounter:
 
     def __init__(self, path: str, whole: frozenset[str]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = without_normalizer(path)
         self.pattern = regex.compile(PRE_TOKEN)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
@@ -114,9 +125,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     ignored; an empty table gives an empty result. No text is cut. The proof runs once on the driver and what is
     sent to the executors is at most the vocabulary.
     """
-    from tokenizers import Tokenizer
-
-    whole = docs.sparkSession.sparkContext.broadcast(proved_whole_tokens(Tokenizer.from_file(tokenizer_path)))
+    whole = docs.sparkSession.sparkContext.broadcast(proved_whole_tokens(without_normalizer(tokenizer_path)))
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
     counted = rows.mapInArrow(_counter(tokenizer_path, whole), schema)

@@ -189,3 +189,33 @@ def test_queries_of_small_tables_take_odd_rows(spark, odd, tmp_path):
             found = q.QUERIES[query](spark, str(tmp_path / name)).count()
             assert found == 0 if name == "none" else found > 0
             assert query == "op11_spelling_variants" or found == df.count()
+
+
+def test_fingerprint_query_keeps_every_row(spark, tmp_path):
+    """Rows without an id, of one id and repeated ones each have their row and their own next document."""
+    rows = [(1, sentence(1, 40)), (2, sentence(2, 30)), (2, sentence(2, 30)), (2, "other words " * 9), (None, sentence(4, 20)), (3, None)]
+    docs(spark, [(i, t, None, None, None) for i, t in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in q.QUERIES["op1_document_fingerprints"](spark, str(tmp_path)).collect())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(f"{'-' if r[0] is None else r[0]}:{r[1] or ''}".encode()).hexdigest()))
+    want = collections.Counter()
+    for (i, a), (_, b) in zip(order, [*order[1:], order[0]]):
+        a, b = a or "", b or ""
+        want[i, len(a), digest(a[: len(a) - len(a) // 4] + b[: len(a) // 4])] += 1
+    assert got == want
+
+
+def test_token_counts_equal_the_library_on_random_texts():
+    """Also where lower-casing takes a letter apart and frees marks."""
+    from tokenizers import Tokenizer
+
+    from seqweave.llm import token_counts
+
+    path = q.public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    counter = token_counts.PreTokenCounter(path, token_counts.proved_whole_tokens(token_counts.without_normalizer(path)))
+    r = random.Random(11)
+    letters = "abcXYZ 019'\u0130\u0331\u0325\u0307\u0301é\u03a3ß\u212a\u0345漢字\U0001f642.,!\n"
+    texts = ["\u0130\u0331", "\u0130\u0325", *("".join(r.choices(letters, k=r.randrange(0, 14))) for _ in range(30_000))]
+    encoded = library.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, e in zip(texts, encoded) if counter.count(t) != len(e.ids)]
+    assert not wrong, (len(wrong), wrong[:5])
