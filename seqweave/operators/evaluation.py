@@ -309,16 +309,16 @@ def wilcoxon_signed_rank(paired: DataFrame, a: str = "a", b: str = "b", by: Sequ
     w = F.least("_plus", "_minus")
     one = F.array(F.lit(1.0))
     doubled = F.flatten(F.transform("_ranks", lambda s: F.array_repeat(s["r"], s["c"])))
-    # number of sign patterns per doubled positive-rank sum: each rank shifts a copy of the counts
+    # share of the sign patterns per doubled positive-rank sum: each rank shifts a copy of one half (counts would overflow)
     patterns = F.aggregate(
         doubled,
         one,
         lambda acc, r: F.zip_with(
-            F.concat(acc, F.array_repeat(F.lit(0.0), r)), F.concat(F.array_repeat(F.lit(0.0), r), acc), lambda x, y: x + y
+            F.concat(acc, F.array_repeat(F.lit(0.0), r)), F.concat(F.array_repeat(F.lit(0.0), r), acc), lambda x, y: 0.5 * (x + y)
         ),
     )
     below = F.aggregate(F.slice(patterns, F.lit(1), (w * 2).cast("int") + 1), F.lit(0.0), lambda acc, v: acc + v)
-    exact = F.least(F.lit(1.0), below * 2.0 / F.pow(F.lit(2.0), F.col("n")))
+    exact = F.least(F.lit(1.0), below * 2.0)
     n = F.col("n").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0
     z = F.abs(w - n * (n + 1) / 4.0) / F.sqrt(variance)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from seqweave.operators import features, labels, ngrams
 from seqweave.plans.sequence_graph import build_graph, level_graph
+from seqweave.session import scratch_path
+from seqweave.streaming import counts
 from workload.registry import query, rounded, seqs
 
 _CODE3 = "ascii({0}[1])*10201 + ascii({0}[2])*101 + ascii({0}[3])"
@@ -69,6 +71,22 @@ def transition_counts(spark, sf):
     return ngrams.transition_counts(seqs(spark, sf), 3)
 
 
+@query(
+    "streamed_transition_counts",
+    "select substr(g4,1,3) as src, substr(g4,2,3) as dst, count(*) as w from grams where g4 is not null group by 1, 2",
+)
+def streamed_transition_counts(spark, sf):
+    """The same counts from a stream: files that arrive in two deliveries, a second run, and a repeated batch."""
+    base = scratch_path(spark, "stream-counts")
+    records = seqs(spark, sf).select("id", "seq")
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    for delivery in (half, ~half):
+        records.filter(delivery).write.mode("append").parquet(f"{base}/in")
+        counts.stream_transition_counts(spark, f"{base}/in", f"{base}/state", f"{base}/progress", 3)
+    counts.batch_writer(f"{base}/state", 3)(records.filter(~half), 1)
+    return counts.read_transition_counts(spark, f"{base}/state")
+
+
 @query(
     "encoded_edges",
     """with v as (select row_number() over (order by ngram) - 1 as id, ngram from (select distinct g2 as ngram from grams

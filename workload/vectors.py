@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqweave.functions import vectors as V
 from seqweave.operators import ngrams, pooling, projection, reduction
 from seqweave.operators.ordering import group_rank
+from seqweave.session import materialise
 from workload.registry import cells, emb, features, query, rounded, seqs, table
 
 # a small vector per n-gram, made from its letters by rule
@@ -218,6 +219,31 @@ def pca_vectors(spark, sf):
     return cells(reduction.pca(emb(spark, sf), 16).vectors, "key")
 
 
+@query(
+    "pca_of_wide_vectors",
+    f"""with n as (select count(*) as rows from embeddings) select i, j, true as as_expected, round(4096 * rows / (rows - 1.0), 6) + 0.0 as total_variance
+    from n, unnest(range(8)) a(i), unnest(range(8)) b(j) where i <= j""",
+)
+def pca_of_wide_vectors(spark, sf):
+    """Eight components of the 4 096 products of two dimensions: scores have falling variances and no covariances,
+    and their variances are the explained share of the total."""
+    products = F.flatten(F.transform("vec", lambda a: F.transform(F.col("vec"), lambda b: (a * b).cast("double"))))
+    found = reduction.pca(emb(spark, sf).select("key", products.alias("vec")), 8)
+    scores = materialise(found.vectors)
+    cells_ = [F.covar_samp(F.col("vec")[i], F.col("vec")[j]).alias(f"c{i}_{j}") for i in range(8) for j in range(i, 8)]
+    c = scores.agg(F.count(F.lit(1)).alias("rows"), *cells_).first()  # one row
+    total = 4096 * c["rows"] / (c["rows"] - 1.0)
+    share = abs(sum(c[f"c{i}_{i}"] for i in range(8)) / total - found.explained) < 1e-6
+
+    def right(i: int, j: int) -> bool:
+        falling = i == 0 or c[f"c{i}_{i}"] <= c[f"c{i - 1}_{i - 1}"] + 1e-9
+        return share and (falling and c[f"c{i}_{i}"] > 0 if i == j else abs(c[f"c{i}_{j}"]) < 1e-5 * c["c0_0"])
+
+    rows = [(i, j, bool(right(i, j)), total) for i in range(8) for j in range(i, 8)]
+    checked = spark.createDataFrame(rows, "i long, j long, as_expected boolean, total_variance double")
+    return checked.withColumn("total_variance", rounded("total_variance"))
+
+
 @query("pca_explained_variance")
 def pca_explained_variance(spark, sf):
     result = reduction.pca(emb(spark, sf), 16)
