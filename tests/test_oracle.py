@@ -10,7 +10,7 @@ from tests.oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = registered.queries(), registered.oracle_sql()
 # long iterative queries are covered by tests/test_invariants.py on small graphs
-SLOW = {"communities", "community_labels", "node_partition", "convolution_models", "cross_validation", "record_vectors_from_levels"}
+SLOW = {"communities", "community_labels", "convolution_models", "record_vectors_from_levels"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
