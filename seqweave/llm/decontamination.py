@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 
 from seqweave.llm.common import per_worker, whole_text
 from seqweave.llm.license_scan import words_of
+from seqweave.operators.ordering import global_rank
 
 #: Masks; at places marked 1 words must agree.
 MASKS = ("11111111", "110110110111", "111010110011", "101100111011")
 _FILTER_BITS = 22
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 1 << 18
+_HOT_PAIRS = 1 << 16
+_BLOCK_PLACES = 1 << 17
+_WORD_COST = 96  # bytes of index a word: four hashes with item and place, the word's id
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,7 +65,7 @@ def mask_places(masks: Sequence[str]) -> list[tuple[int, ...]]:
 
 
 class SeedIndex:
-    """Hashes of a block of benchmark items, with a small bit table in front of the sorted list."""
+    """Hashes of a block of benchmark items in sorted arrays, with a small bit table in front of each."""
 
     def __init__(self, items: Sequence[tuple], masks: Sequence[str]):
         known = WordIds()
@@ -73,48 +77,111 @@ class SeedIndex:
         short = {len(x) for x in self.ids if 0 < len(x) < shortest}
         for mask in [*places, *[tuple(range(n)) for n in sorted(short)]]:
             solid_short = len(mask) < shortest and mask == tuple(range(len(mask)))
-            rows = [(h, i, q) for i, x in enumerate(self.ids) if not solid_short or len(x) == len(mask) for q, h in enumerate(seed_hashes(x, mask).tolist())]
-            rows.sort()
-            hashes = np.array([r[0] for r in rows], np.uint64)
+            held = [(i, seed_hashes(x, mask)) for i, x in enumerate(self.ids) if not solid_short or len(x) == len(mask)]
+            hashes = np.concatenate([np.empty(0, np.uint64), *[h for _, h in held]])
+            item = np.repeat(np.array([i for i, _ in held], np.int32), [len(h) for _, h in held])
+            at = np.concatenate([np.empty(0, np.int32), *[np.arange(len(h), dtype=np.int32) for _, h in held]])
+            order = np.argsort(hashes, kind="stable")
+            hashes = hashes[order]
             table = np.zeros(1 << _FILTER_BITS, bool)
             table[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.seeds.append((mask, hashes, np.array([r[1:] for r in rows], np.int64).reshape(-1, 2), table))
+            self.seeds.append((mask, hashes, item[order], at[order], table))
 
-    def alignments(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place of the item's first word in the text) of every seed hit."""
-        found: set[tuple[int, int]] = set()
-        for mask, hashes, owners, table in self.seeds:
+    def alignments(self, ids: np.ndarray) -> dict[int, np.ndarray]:
+        """item -> ascending places of the item's first word in the text, one for each alignment with a seed hit."""
+        found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+        for mask, hashes, item, at, table in self.seeds:
             h = seed_hashes(ids, mask)
-            at = np.flatnonzero(table[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            if len(at) and len(hashes):
-                low, high = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-                for p, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
-                    found.update((int(i), p - int(q)) for i, q in owners[a:b])
-        return found
-
-
-def best_overlap(text: np.ndarray, item: np.ndarray, start: int, penalty: int = 3) -> tuple[int, int, int]:
-    """(first word in the text, words, agreeing words) of the best stretch with the item's first word at `start`.
+            p = np.flatnonzero(table[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+            if not len(p) or not len(hashes):
+                continue
+            low, high = np.searchsorted(hashes, h[p], "left"), np.searchsorted(hashes, h[p], "right")
+            hit = high > low
+            p, low, n = p[hit], low[hit], (high - low)[hit]
+            if not len(p):
+                continue
+            _, group, often = np.unique(low, return_inverse=True, return_counts=True)
+            hot = often[group] * n > _HOT_PAIRS
+            found += _laid_out(p[~hot], low[~hot], n[~hot], item, at)
+            for g in np.unique(group[hot]).tolist():
+                mine = np.flatnonzero(group == g)
+                rows = slice(int(low[mine[0]]), int(low[mine[0]] + n[mine[0]]))
+                items, first = np.unique(item[rows], return_index=True)
+                for i, q in zip(items.tolist(), np.split(at[rows], first[1:])):
+                    starts = differences(p[mine], q.astype(np.int64))
+                    found.append(np.stack([np.full(len(starts), i), starts], axis=1))
+        both = np.concatenate(found)
+        if not len(both):
+            return {}
+        both = np.unique(both, axis=0)
+        items, first = np.unique(both[:, 0], return_index=True)
+        return dict(zip(items.tolist(), np.split(both[:, 1], first[1:])))
+
+
+def _laid_out(p: np.ndarray, low: np.ndarray, n: np.ndarray, item: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """(item, place of its first word) of each hit at `p` with the index rows low .. low + n, in bounded pieces."""
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(p):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))
+        many = n[a:b]
+        rows = np.repeat(low[a:b] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        yield np.unique(np.stack([item[rows].astype(np.int64), np.repeat(p[a:b], many) - at[rows]], axis=1), axis=0)
+        a = b
+
+
+def differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Ascending distinct x - y for x of `p`, y of `q`; many pairs by a product of transforms, so a hot seed costs its places, not their pairs."""
+    if len(p) * len(q) <= _HOT_PAIRS:
+        return np.unique(p[:, None] - q[None, :])
+    low, last = int(p.min()), int(q.max())
+    n = int(p.max()) - low + last - int(q.min()) + 1
+    size = 1 << n.bit_length()
+    a, b = np.zeros(size), np.zeros(size)
+    a[p - low] = 1
+    b[last - q] = 1
+    return np.flatnonzero(np.fft.irfft(np.fft.rfft(a) * np.fft.rfft(b), size)[:n] > 0.5) + low - last
+
+
+def best_overlaps(text: np.ndarray, item: np.ndarray, starts: np.ndarray, penalty: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word in the text, words, agreeing words) of the best stretch with the item's first word at each of `starts`.
 
     A stretch scores one for an agreeing word and loses `penalty` for a substituted one, so the best stretch holds
-    at most one substitution in `penalty` + 1 words at either end.
+    at most one substitution in `penalty` + 1 words at either end. Words beyond either end of the text never agree.
     """
-    a, b = max(0, start), min(len(text), start + len(item))
-    same = text[a:b] == item[a - start : b - start]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -penalty))])
-    gain = total - np.minimum.accumulate(total)
-    end = int(np.argmax(gain))
-    first = int(np.argmin(total[: end + 1]))
-    return a + first, end - first, int(same[first:end].sum())
+    at = starts[:, None] + np.arange(len(item))
+    same = (at >= 0) & (at < len(text))
+    same &= text[np.clip(at, 0, len(text) - 1)] == item
+    none = np.zeros((len(starts), 1), np.int64)
+    total = np.concatenate([none, np.cumsum(np.where(same, 1, -penalty), axis=1)], axis=1)
+    end = np.argmax(total - np.minimum.accumulate(total, axis=1), axis=1)
+    first = np.argmin(np.where(np.arange(total.shape[1]) <= end[:, None], total, np.iinfo(np.int64).max), axis=1)
+    agreeing = np.concatenate([none, np.cumsum(same, axis=1)], axis=1)
+    row = np.arange(len(starts))
+    return starts + first, end - first, agreeing[row, end] - agreeing[row, first]
 
 
 def overlaps(text: bytes, known: WordIds, seeds: SeedIndex, min_words: int) -> dict[int, tuple[int, int, int, int]]:
-    """item -> (words of the text, first word, words, agreeing words) of the best overlap that is long enough."""
-    ids, best = ids_of(text, known), {}
-    for i, start in seeds.alignments(ids):
-        first, n, agree = best_overlap(ids, seeds.ids[i], start)
-        if n >= min(min_words, len(seeds.ids[i])) and (i not in best or (agree, -first) > (best[i][3], -best[i][1])):
-            best[i] = (len(ids), first, n, agree)
+    """item -> (words of the text, first word, words, agreeing words) of the best overlap that is long enough.
+
+    The best one has the most agreeing words, then the earliest place. Alignments are taken in the order of their
+    place, in bounded blocks, until one holds all words of the item that the text has anywhere.
+    """
+    ids = ids_of(text, known)
+    best: dict[int, tuple[int, int, int, int]] = {}
+    for i, starts in seeds.alignments(ids).items():
+        item = seeds.ids[i]
+        most, least = int(np.isin(item, ids).sum()), min(min_words, len(item))
+        step = max(1, _BLOCK_PLACES // len(item))
+        for a in range(0, len(starts), step):
+            first, n, agree = best_overlaps(ids, item, starts[a : a + step])
+            long = np.flatnonzero(n >= least)
+            if len(long):
+                top = long[np.lexsort((first[long], -agree[long]))[0]]
+                if i not in best or (agree[top], -first[top]) > (best[i][3], -best[i][1]):
+                    best[i] = (len(ids), int(first[top]), int(n[top]), int(agree[top]))
+            if i in best and best[i][3] == most:  # a later alignment cannot agree in more words and lies later
+                break
     return best
 
 
@@ -142,7 +209,7 @@ def contamination(
     item_text_col: str = "text",
     masks: Sequence[str] = MASKS,
     min_words: int = 10,
-    block_bytes: int = 1 << 24,
+    block_bytes: int = 1 << 26,
 ) -> DataFrame:
     """One row per text and benchmark item that overlap: id, item_id, n_words, first_word, overlap, agreeing.
 
@@ -150,8 +217,10 @@ def contamination(
     matter. An overlap has `min_words` words or the whole item; the best one of each pair is returned. Null texts
     and items have no words and overlap with nothing; repeated items are found each, repeated rows are returned
     each; null ids stay null; other columns are ignored; empty tables give an empty result. The benchmark is a
-    query set: it is taken in blocks of at most `block_bytes` of text, each held by every worker while all texts
-    pass, so its size sets the number of passes and never the memory. Items of one block are all that the driver sees.
+    query set: it is taken in blocks of about `block_bytes` of index, each held by every worker while all texts
+    pass, so its size sets the number of passes and never the memory (an item of more words is a block of its own).
+    Items of one block are all that the driver sees. Repeated words cost no more than others: hits of a hot seed are
+    combined by a transform, and alignments are compared in bounded blocks.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
@@ -162,13 +231,16 @@ def contamination(
 
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, masks: Sequence[str], block_bytes: int) -> Iterator[Broadcast]:
-    """The benchmark's seeds, one block of items at a time."""
+    """The benchmark's seeds, one block of items at a time; equal items are dealt to different blocks."""
     items = benchmark.select(F.col(item_col).cast("long").alias("_item"), whole_text(text_col).alias("_text"))
-    total = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n_blocks = -(-total // block_bytes) or 1
+    words = F.regexp_count("_text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    total = items.agg(F.sum(words)).first()[0] or 0
+    n_blocks = -(-total * _WORD_COST // block_bytes) or 1
+    if n_blocks > 1:
+        items = global_rank(items, ["_item", "_text"], "_rank")
     for k in range(n_blocks):
-        block = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("_text"), F.lit(n_blocks)) == k)
-        index = SeedIndex([tuple(r) for r in block.orderBy("_item", "_text").collect()], masks)
+        block = items if n_blocks == 1 else items.filter(F.col("_rank") % n_blocks == k)
+        index = SeedIndex([(r["_item"], r["_text"]) for r in block.select("_item", "_text").orderBy("_item", "_text").collect()], masks)
         yield benchmark.sparkSession.sparkContext.broadcast(index)
 
 
@@ -190,7 +262,7 @@ def drop_contaminated(
     item_text_col: str = "text",
     masks: Sequence[str] = MASKS,
     min_words: int = 10,
-    block_bytes: int = 1 << 24,
+    block_bytes: int = 1 << 26,
 ) -> DataFrame:
     """`docs` without the rows whose text overlaps with an item, all columns as they are; null text stays.
 

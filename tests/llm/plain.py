@@ -136,3 +136,47 @@ def letter_gains(counts: dict, asked: list[str], order: int, shared: int, discou
                 gain += math.log(max(p, 1e-12)) * (1 if label else -1)
         out[word] = gain
     return out
+
+
+def license_places(words: list[str], templates: dict, index: dict, slack: int) -> list[tuple[str, int, float]]:
+    """Best verified place of each template, by trying every place of the text."""
+    from seqweave.llm.license_scan import COMMON
+
+    found = []
+    for label, (text, keys) in sorted(templates.items()):
+        own = text.split()
+        anchors = {w for w, posts in index.items() if label in {x for x, _ in posts}}
+        inside = {w for k in keys for w in k.split()}
+        needed, best = 2 if len(anchors - inside) > 1 else 1, None
+        known = [(i, w) for i, w in enumerate(own) if w not in COMMON and not w.isdigit()]
+        for start in range(-len(own), len(words) + 1):
+            votes = sum(w in anchors and 0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(own))
+            near = range(max(0, start - slack), min(len(words), start + len(own) + slack + 1))
+            if votes >= needed and all(any(words[p : p + len(k.split())] == k.split() for p in near) for k in keys):
+                covered = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in known) / len(known)
+                best = max(best or (-1.0, 0), (covered, -start))
+        if best:
+            found.append((label, -best[1], best[0]))
+    return found
+
+
+def best_alignment(text: list[str], item: list[str], masks, min_words: int) -> tuple[int, int, int] | None:
+    """(first word, words, agreeing words) of the best overlap of all alignments at which a mask's open words agree."""
+    best, shortest = None, min(map(len, masks))
+    shapes = [[i for i, c in enumerate(m) if c == "1"] for m in masks] + ([list(range(len(item)))] if 0 < len(item) < shortest else [])
+    for start in range(1 - len(item), len(text)):
+        same = [0 <= start + q < len(text) and text[start + q] == w for q, w in enumerate(item)]
+        if not any(all(same[q + p] for p in shape) for shape in shapes for q in range(len(item) - shape[-1])):
+            continue
+        top, run, a = (0, 0, 0), 0, 0
+        for q, s in enumerate(same):
+            run += 1 if s else -3
+            if run < 0:
+                run, a = 0, q + 1
+            if run > top[0]:
+                top = (run, a, q + 1)
+        _, a, b = top
+        agree = sum(same[a:b])
+        if b - a >= min(min_words, len(item)) and (best is None or (agree, -(start + a)) > (best[2], -best[0])):
+            best = (start + a, b - a, agree)
+    return best

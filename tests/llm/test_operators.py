@@ -269,3 +269,73 @@ def test_rows_without_an_id_are_kept_by_their_own_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     assert rows_of(quality.keep_good(df, labels).filter("doc_id is null"), "text") == [(sentence(991, 40),)]
+
+
+def test_overlaps_equal_all_alignments(spark):
+    """Random, periodic and repeated words, against every alignment: what is found, where, and what is not."""
+    r = random.Random(8)
+    items = [(k, " ".join(r.choice(WORDS[: (3, 40, 400)[k % 3]]) for _ in range(r.choice((1, 3, 7, 8, 12, 40))))) for k in range(24)]
+    items += [(30, "a " * 50), (31, "a b " * 30), (32, "a " * 20 + "c"), (33, ""), (34, items[0][1])]
+    texts = []
+    for k in range(60):
+        words = [r.choice(WORDS[: (3, 40, 400)[k % 3]]) for _ in range(r.randrange(0, 60))]
+        if k % 2:
+            cut = items[k % 24][1].split()
+            for _ in range(k % 4):
+                cut[r.randrange(len(cut))] = "zz"
+            words[len(words) // 2 : len(words) // 2] = cut
+        texts.append((k, " ".join(words)))
+    texts += [(70, "a " * 300), (71, "b a " * 200), (72, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for d, text in texts:
+        for i, item in items:
+            found = plain.best_alignment((text or "").split(), item.split(), decontamination.MASKS, 10)
+            if found:
+                want.append((d, i, *found))
+    for block in (1 << 26, 20_000):  # one block, and several
+        got = decontamination.contamination(docs, bench, block_bytes=block)
+        assert rows_of(got, "doc_id", "item_id", "first_word", "overlap", "agreeing") == sorted(want, key=repr)
+    clean = {d for d, _ in texts} - {w[0] for w in want}
+    assert clean and {r[0] for r in rows_of(decontamination.drop_contaminated(docs, bench), "doc_id")} == clean
+
+
+def test_repeated_words_are_cheap():
+    import time
+
+    index = decontamination.SeedIndex([(0, "a " * 2000), (1, "a b " * 1000), (2, "a " * 1999 + "c")], decontamination.MASKS)
+    known = decontamination.WordIds()
+    began = time.process_time()
+    got = decontamination.overlaps(b"a " * 100_000, known, index, 10)
+    assert got[0] == (100_000, 0, 2000, 2000) and got[2] == (100_000, 0, 1999, 1999) and time.process_time() - began < 5
+
+
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    """A value in thousands of documents of one source is copied, one in some dozens shared, one in a few live."""
+    rows = [(i, f"token = {'q' * 12 if i < 3000 else 'r' * 12 if i < 3040 else 's' * 12}", "hot" if i % 2 else None) for i in range(3043)]
+    df = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string, source string")
+    got = {(r["spans"][0]["n_repos"], r["spans"][0]["n_owners"], r["spans"][0]["status"]) for r in secret_scan.scan_secrets(df).collect()}
+    assert got == {(3000, 1, "copied"), (40, 1, "shared"), (3, 1, "live")}
+
+
+def test_license_places_equal_all_places(spark):
+    r = random.Random(5)
+    header = {k: v[0] for k, v in license_scan.TEMPLATES.items()}
+    texts = ["Content under CC BY 4.0", "cc by 4 0 and later cc by 4 0", "", None, "mit license " * 40]
+    for label, text in header.items():
+        words = text.split()
+        texts.append(" ".join([*r.choices(WORDS, k=r.randrange(9)), *words, *r.choices(WORDS, k=3)]))
+        words[r.randrange(len(words))] = "other"
+        texts.append(" ".join([*words, "x", *header[r.choice(sorted(header))].split(), *words]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = {i: [w.decode() for w in license_scan.words_of((t or "").encode())] for i, t in enumerate(texts)}
+    counts: dict = {}
+    for held in words.values():
+        for w in set(held) & license_scan.licence_words(license_scan.TEMPLATES):
+            counts[w] = counts.get(w, 0) + 1
+    index = license_scan.anchors(license_scan.TEMPLATES, counts, len(texts), 6)
+    got = {x["doc_id"]: [(p["label"], p["start"], p["coverage"]) for p in x["places"]] for x in license_scan.scan_licenses(df).collect()}
+    assert got == {i: plain.license_places(held, license_scan.TEMPLATES, index, 8) for i, held in words.items()}
+    assert "cc-by-4.0" in {p[0] for p in got[0]}
+    assert set(header) <= {p[0] for places in got.values() for p in places}
