@@ -20,7 +20,7 @@ from seqweave.llm.license_scan import BASE_PHRASES, scan_licenses
 from seqweave.llm.merkle import fold_witnesses, leaf_digest, manifest
 from seqweave.llm.packing import pack
 from seqweave.llm.quality import score_quality
-from seqweave.llm.secret_scan import BASE_KINDS, COPIED, LIVE, MIXED_KIND, scan_secrets
+from seqweave.llm.secret_scan import BASE_KINDS, COPIED, COPIED_REPOS, LIVE, MIXED_KIND, scan_secrets
 from seqweave.llm.spelling import spelling_variants, vocabulary
 from seqweave.llm.token_counts import count_tokens
 from seqweave.llm.toxicity import score_toxicity
@@ -99,8 +99,8 @@ def _secret_sql() -> str:
     x as (select * from s where kind = 'mixed' and regexp_matches(value, '[A-Z]') and regexp_matches(value, '[a-z]') and regexp_matches(value, '[0-9]')
         and not exists (select 1 from b where b.doc_id = s.doc_id and s.start < b.stop and b.start < s.stop)),
     c as (select * from b union all select * from x),
-    o as (select value, count(distinct source) as owners from c group by 1),
-    j as (select c.*, case when owners >= 3 then 'copied' when owners <= 1 then 'live' else 'shared' end as status from c join o using (value)),
+    o as (select value, count(distinct source) as owners, count(distinct doc_id) as repos from c group by 1),
+    j as (select c.*, case when owners >= 3 or repos >= {COPIED_REPOS} then 'copied' when owners <= 1 and repos * 10 < {COPIED_REPOS} then 'live' else 'shared' end as status from c join o using (value)),
     f as (select doc_id, ord, kind, start, stop, status, kind || ':' || start || ':' || stop as place from j where kind <> 'mixed' or status = 'live'),
     a as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
         coalesce(string_agg(place, ',' order by start, ord, stop) filter (kind <> 'mixed'), '') as base, string_agg(place, ',' order by start, ord, stop) as spans,

@@ -1,7 +1,8 @@
 """Secret scans with corpus-wide ownership frequency. DataFrame functions only.
 
 Candidates are found in every text; their hashes are counted by distinct repositories and distinct owners. A value
-that many owners hold is a copied example; one that a single owner holds looks live.
+that many owners, or very many repositories of few owners, hold is a copied example; one that a single owner holds in
+few repositories looks live.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ MIXED_KIND = ("mixed", r"([A-Za-z0-9+/_-]+)", 1, 24)
 _LEAST = {"assign": 1, "access": 18, "hex": 16, "mixed": 24}  # shorter runs need not be listed: see `_found`
 
 COPIED, LIVE, SHARED = "copied", "live", "shared"
+COPIED_REPOS = 100
 
 
 def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -83,36 +85,39 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
     return found.select("_id", "_repo", "_owner", base.alias("_base"), "_mixed").select("_id", "_repo", "_owner", "_base", apart.alias("_mixed"))
 
 
-def ownership(found: DataFrame, copied_owners: int) -> DataFrame:
+def ownership(found: DataFrame, copied_owners: int, copied_repos: int) -> DataFrame:
     """Per candidate hash: distinct repositories, distinct owners and status.
 
     (hash, owner, repository) is made distinct first, with a partial step before each shuffle, so a value that a
-    third of all rows hold arrives as one row per task and the last count sees one row per owner.
+    third of all rows hold arrives as one row per task and the last counts see one row per owner or repository.
     """
     held = found.select("_repo", "_owner", F.explode(F.concat("_base", "_mixed")).alias("_s")).select(
         F.sha2("_s.value", 256).alias("_hash"), "_owner", "_repo"
     )
-    by_owner = held.groupBy("_hash", "_owner", "_repo").agg(F.lit(1).alias("_x")).groupBy("_hash", "_owner").agg(F.count("_repo").alias("_repos"))
-    counted = by_owner.groupBy("_hash").agg(F.sum("_repos").alias("n_repos"), F.count("_owner").alias("n_owners"))
-    status = F.when(F.col("n_owners") >= copied_owners, COPIED).when(F.col("n_owners") <= 1, LIVE).otherwise(SHARED)
-    return counted.withColumn("status", status)
+    once = held.groupBy("_hash", "_owner", "_repo").agg(F.lit(1).alias("_x"))
+    owners = once.groupBy("_hash", "_owner").agg(F.lit(1).alias("_x")).groupBy("_hash").agg(F.count("_owner").alias("n_owners"))
+    repos = once.groupBy("_hash", "_repo").agg(F.lit(1).alias("_x")).groupBy("_hash").agg(F.count("_repo").alias("n_repos"))
+    copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos)
+    single = (F.col("n_owners") <= 1) & (F.col("n_repos") * 10 < copied_repos)
+    return repos.join(owners, "_hash").withColumn("status", F.when(copied, COPIED).when(single, LIVE).otherwise(SHARED))
 
 
 def scan_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = 3, copied_repos: int = COPIED_REPOS
 ) -> DataFrame:
     """One row per input row: the id and `spans`, an array of (start, order, end, kind, value, n_repos, n_owners, status).
 
     Places are code points, end exclusive; spans are in the order of start, kind, end. All base spans are there;
-    spans of kind `mixed` only where a single owner holds the value. status: `copied` from `copied_owners` distinct
-    owners on, `live` for at most one, else `shared`. Null text has no spans; a null repository or owner is counted
+    spans of kind `mixed` only where the value is `live`. status: `copied` from `copied_owners` distinct owners or
+    `copied_repos` distinct repositories on, `live` for at most one owner and less than a tenth of those
+    repositories, else `shared`. Null text has no spans; a null repository or owner is counted
     as none; repeated rows count once for ownership and are each returned; ids may be null or repeat. Other columns
     are ignored. What a text holds meets in one row, never what a value or an owner holds.
     """
     found = materialise(
         candidates(docs, id_col, text_col, repo_col, owner_col).withColumn("_row", F.monotonically_increasing_id())
     )
-    owned = ownership(found, copied_owners)
+    owned = ownership(found, copied_owners, copied_repos)
     rows = found.select("_row", F.explode(F.concat("_base", "_mixed")).alias("_s")).withColumn("_hash", F.sha2("_s.value", 256))
     judged = rows.join(owned, "_hash").filter((F.col("_s.kind") != MIXED_KIND[0]) | (F.col("status") == LIVE))
     span = F.struct("_s.start", "_s.order", "_s.end", "_s.kind", "_s.value", "n_repos", "n_owners", "status")
@@ -122,7 +127,7 @@ def scan_secrets(
 
 
 def redact(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = 3, mask: str = "[secret]"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = 3, copied_repos: int = COPIED_REPOS, mask: str = "[secret]"
 ) -> DataFrame:
     """`docs` with the spans that are not widely copied examples replaced by `mask`, all rows and columns as they are.
 
@@ -132,7 +137,7 @@ def redact(
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("text"))
     rows = docs.select(key.alias("_key"), whole_text(text_col).alias("_text"), F.col(repo_col).alias("_repo"), F.col(owner_col).alias("_owner"))
     hot = F.filter("spans", lambda s: s["status"] != COPIED)
-    hits = scan_secrets(rows, "_key", "_text", "_repo", "_owner", copied_owners).select(
+    hits = scan_secrets(rows, "_key", "_text", "_repo", "_owner", copied_owners, copied_repos).select(
         F.col("_key").alias("_hit"), F.transform(hot, lambda s: F.struct(s["start"], s["end"])).alias("_spans")
     )
     hits = hits.filter(F.size("_spans") > 0).distinct()
