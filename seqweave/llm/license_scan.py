@@ -8,6 +8,7 @@ candidate place, and a label is given only where the template's mandatory key ph
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
@@ -24,6 +25,11 @@ BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache",
 #: Public licence wording by label, in lower-case words, and the phrases that must be there.
 TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "all-rights-reserved": ("all rights reserved", ("all rights reserved",)),
+    "agpl-header": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as "
+        "published by the free software foundation either version 3 of the license or at your option any later version",
+        ("under the terms of the gnu affero general public license",),
+    ),
     "apache-2.0": ("licensed under the apache license version 2 0", ("apache license version 2 0",)),
     "apache-2.0-header": (
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
@@ -36,21 +42,63 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
         "following disclaimer",
         ("redistribution and use in source and binary forms", "must retain the above copyright notice"),
     ),
+    "bsd-endorsement": (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission",
+        ("may be used to endorse or promote products derived from this software",),
+    ),
     "cc-by-4.0": ("licensed under cc by 4 0", ("cc by 4 0",)),
     "cc-by-nc-4.0": ("licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     "cc-by-sa-4.0": ("licensed under cc by sa 4 0", ("cc by sa 4 0",)),
+    "cc0-1.0": (
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        ("waived all copyright and related or neighboring rights",),
+    ),
+    "epl-2.0": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is "
+        "available at https www eclipse org legal epl 2 0",
+        ("under the terms of the eclipse public license",),
+    ),
     "gpl-3.0": ("this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     "gpl-header": (
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
         "published by the free software foundation either version",
         ("redistribute it and or modify it under the terms of the gnu general public license",),
     ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+        "the above copyright notice and this permission notice appear in all copies the software is provided as is and the author "
+        "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        ("for any purpose with or without fee is hereby granted", "this permission notice appear in all copies"),
+    ),
+    "lgpl-header": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+        "published by the free software foundation either version 2 1 of the license or at your option any later version",
+        ("under the terms of the gnu lesser general public license",),
+    ),
     "mit-notice": ("released under the mit license", ("under the mit license",)),
     "mit-text": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
         "the software to deal in the software without restriction",
         ("permission is hereby granted free of charge", "deal in the software without restriction"),
     ),
+    "mpl-2.0": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with "
+        "this file you can obtain one at https mozilla org mpl 2 0",
+        ("subject to the terms of the mozilla public license",),
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+        "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+        "applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not "
+        "be misrepresented you must not claim that you wrote the original software",
+        ("alter it and redistribute it freely", "the origin of this software must not be misrepresented"),
+    ),
 }
 
 #: Words too common in running text to be looked up.
@@ -127,20 +175,38 @@ def anchors(templates, df: Mapping[str, int], n_docs: int, per_template: int) ->
     return dict(index)
 
 
-def judge(held, phrases, templates, index, slack: int) -> list[tuple[str, int, float]]:
-    """(label, start, coverage) of each verified template place, the best place of a label only."""
+def wanted_votes(templates, index) -> dict[str, int]:
+    """How many anchors must agree on a place: two, but one where fewer than two stand outside the key phrases.
+
+    Such a template is little more than its key phrases, which are verified in any case.
+    """
+    chosen: dict[str, set[str]] = defaultdict(set)
+    for word, posts in index.items():
+        for label, _ in posts:
+            chosen[label].add(word)
+    return {label: 2 if len(chosen[label] - {w for k in keys for w in k.split()}) > 1 else 1 for label, (_, keys) in templates.items()}
+
+
+def judge(held, phrases, templates, index, slack: int, needed: Mapping[str, int] | None = None) -> list[tuple[str, int, float]]:
+    """(label, start, coverage) of each verified template place, the best place of a label only (ties: the first)."""
+    needed = wanted_votes(templates, index) if needed is None else needed
     votes: Counter = Counter()
     for pos, word in held:
         for label, at in index.get(word, ()):
             votes[label, pos - at] += 1
-    chosen = {label: len({w for w, posts in index.items() if any(x == label for x, _ in posts)}) for label in templates}
     at_place, best = dict(held), {}
+    places: dict[str, list[int]] = defaultdict(list)
+    for pos, phrase in sorted(phrases):
+        places[phrase].append(pos)
+
+    def stands(key: str, low: int, high: int) -> bool:
+        i = bisect_left(places[key], low)
+        return i < len(places[key]) and places[key][i] <= high
+
     for (label, start), n in votes.items():
         text, keys = templates[label]
         words = text.split()
-        if n < min(2, chosen[label]):
-            continue
-        if not all(any(p == key and start - slack <= pos <= start + len(words) + slack for pos, p in phrases) for key in keys):
+        if n < needed[label] or not all(stands(key, start - slack, start + len(words) + slack) for key in keys):
             continue
         known = [(i, w) for i, w in enumerate(words) if w not in COMMON and not w.isdigit()]
         covered = sum(at_place.get(start + i) == w for i, w in known) / len(known)
@@ -150,6 +216,7 @@ def judge(held, phrases, templates, index, slack: int) -> list[tuple[str, int, f
 
 
 def _judge_rows(templates, index, slack):
+    needed = wanted_votes(templates, index)
     span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("coverage", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
