@@ -7,6 +7,7 @@ so similar sets share a signature. There are `slack` groups more than that argum
 more than `slack` signatures, and each set may leave out its `slack` poorest ones (fewest elements) in an order
 common to all sets. That leaves out empty partitions and those that hold little but a widely shared passage.
 
+Equal sets are found by their hash first and stand for each other from there on, so exact copies make no signatures.
 Sets that share a signature are candidates. Each group of them is linked to one pivot; a parity bitmap bounds the
 number of differing elements from below and drops most false candidates; the others are compared element by
 element. Where a group falls into several components afterwards, the pairs across components are taken as well.
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from seqweave.llm.common import per_worker, whole_text
 from seqweave.llm.components import connected_components
 from seqweave.llm.decontamination import WordIds
-from seqweave.session import materialise
+from seqweave.session import materialise, release
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
@@ -162,16 +163,21 @@ def _close_pairs(node: np.ndarray, component: np.ndarray, size: np.ndarray, bloc
     two = bool((block != block[0]).any())
 
     def compare(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> None:
-        for low in range(0, len(a), 256):
-            rows = a[low : low + 256]
-            apart = np.bitwise_count(of_a[low : low + 256, None, :] ^ of_b[None, :, :]).sum(axis=2, dtype=np.int64)
-            total = size[rows][:, None] + size[b][None, :]
-            apart = np.maximum(apart, np.abs(size[rows][:, None] - size[b][None, :]))
-            good = (component[rows][:, None] != component[b][None, :]) & (apart * (DENOMINATOR + NUMERATOR) <= total * (DENOMINATOR - NUMERATOR))
-            if two:
-                good &= block[rows][:, None] != block[b][None, :]
-            i, j = np.nonzero(good)
-            found.append(np.stack([node[rows[i]], node[b[j]]], axis=1))
+        words = of_a.shape[1]
+        wide = max(1, _COMPARED_WORDS // words)
+        for start in range(0, len(b), wide):
+            cols, of_cols = b[start : start + wide], of_b[start : start + wide]
+            tall = max(1, _COMPARED_WORDS // (words * len(cols)))
+            for low in range(0, len(a), tall):
+                rows = a[low : low + tall]
+                apart = np.bitwise_count(of_a[low : low + tall, None, :] ^ of_cols[None, :, :]).sum(axis=2, dtype=np.int64)
+                total = size[rows][:, None] + size[cols][None, :]
+                apart = np.maximum(apart, np.abs(size[rows][:, None] - size[cols][None, :]))
+                good = (component[rows][:, None] != component[cols][None, :]) & (apart * (DENOMINATOR + NUMERATOR) <= total * (DENOMINATOR - NUMERATOR))
+                if two:
+                    good &= block[rows][:, None] != block[cols][None, :]
+                i, j = np.nonzero(good)
+                found.append(np.stack([node[rows[i]], node[cols[j]]], axis=1))
 
     for width in np.unique(widths).tolist():
         a = np.flatnonzero(widths == width)
@@ -224,14 +230,15 @@ def _pair_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
 
-_SIGNATURE_BLOCK = 1 << 21
+_SIGNATURE_BLOCK = 1 << 19
+_COMPARED_WORDS = 1 << 21
 _SMALL_GROUP = 64
 _BLOCK_NODES = 4096
 _SIGNATURE_ROW = "sig long, node long, pivot long"
 
 
-def _signature_rows(n2: int):
-    """Rows (sig, node, null). A block keeps one node of each signature and links the others to it.
+def _signature_rows(n2: int, table):
+    """Rows (sig, node, null) of the nodes that pass the filter. A block keeps one node of each signature and links the others to it.
 
     Such links are rows (any hash, node, pivot). What a third of all rows share so leaves each block as one row.
     """
@@ -254,7 +261,7 @@ def _signature_rows(n2: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, waiting = [], [], 0
-        for node, s in _wanted(batches, None):
+        for node, s in _wanted(batches, table):
             sigs.append(richest(s, n2))
             nodes.append(node)
             waiting += len(sigs[-1])
@@ -382,11 +389,18 @@ class _Join:
         kind = rows.schema["_id"].dataType.simpleString()
         measured = rows.mapInArrow(_set_rows, f"_id {kind}, node long, n_shingles long, set_key long, bitmap array<long>")
         self.members = materialise(measured)
-        self.sets = self.members.filter("n_shingles > 0").select("node", "n_shingles", "bitmap")
+        held = self.members.filter("n_shingles > 0")
+        self.sets = held.select("node", "n_shingles", "bitmap")
+        # equal sets are one: the smallest node of each stands for it, the others are linked to it
+        firsts = held.groupBy("set_key").agg(F.min("node").alias("_first"), F.max("node").alias("_last"))
+        self.heads = materialise(firsts.select(F.col("_first").alias("node")).distinct())
+        shared = firsts.filter("_first != _last").select("set_key", F.col("_first").alias("u"))
+        same = held.select("set_key", F.col("node").alias("v")).join(shared, "set_key").filter("u != v")
+        self.equal = materialise(same.select("u", "v").distinct())
 
     def candidates(self) -> DataFrame:
         """(u, v) pairs: the nodes of each signature with its pivot."""
-        rows = self.texts.mapInArrow(_signature_rows(self.n2), _SIGNATURE_ROW)
+        rows = self.texts.mapInArrow(_signature_rows(self.n2, node_filter(self.heads)), _SIGNATURE_ROW)
         return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_star_rows, "u long, v long").distinct()
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
@@ -414,32 +428,44 @@ class _Join:
         ends = close.select("u", "v", "apart").unionByName(close.select(F.col("v").alias("u"), F.col("u").alias("v"), "apart"))
         nearest = ends.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("_m")).select("u", F.col("_m.v").alias("v"))
         nearest = materialise(nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        links = self.verified(nearest)
+        links = self.equal.unionByName(self.verified(nearest))
         labels = connected_components(links)
         # then the other candidates that would join two components
         rest = materialise(_across(close, labels).join(nearest, ["u", "v"], "left_anti"))
         if not rest.isEmpty():
-            links = links.unionByName(self.verified(rest))
-            labels = connected_components(links)
+            links, labels = self.grown(links, labels, rest)
+        release(close, nearest, rest)
         # last the pairs of one signature's group that had no pivot among them
         mixed = self.mixed_groups(pairs, labels)
         if mixed is None:
+            release(pairs)
             return labels
         while True:  # one node stands for its component, until that joins no more of them
-            more = self.bounded(_renamed(mixed, labels).transform(_heads).join(pairs, ["u", "v"], "left_anti"))
-            found = self.verified(materialise(more))
-            if found.isEmpty():
+            more = materialise(self.bounded(_renamed(mixed, labels).transform(_heads).join(pairs, ["u", "v"], "left_anti")))
+            known, (links, labels) = labels, self.grown(links, labels, more)
+            release(more)
+            if labels is known:
                 break
-            links = links.unionByName(found)
-            labels = connected_components(links)
         # then node by node: in small groups directly, of large ones by the rarest features of their nodes
         placed = materialise(_renamed(mixed, labels))
         small = placed.filter(F.col("n") <= _SMALL_GROUP).select("sig", "node", "component", "n")
         crossing = self.crossing(small.unionByName(self.rarest_features(placed, labels)))
         more = materialise(crossing.join(pairs, ["u", "v"], "left_anti"))
-        if more.isEmpty():
-            return labels
-        return connected_components(links.unionByName(self.verified(more)))
+        release(pairs, mixed, placed)
+        if not more.isEmpty():
+            links, labels = self.grown(links, labels, more)
+        release(more)
+        return labels
+
+    def grown(self, links: DataFrame, labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and labels with the similar ones of `pairs` added; the same objects if there are none."""
+        found = self.verified(pairs)
+        if found.isEmpty():
+            return links, labels
+        links = links.unionByName(found)
+        wider = connected_components(links)
+        release(labels)
+        return links, wider
 
     def crossing(self, rows: DataFrame) -> DataFrame:
         """Pairs of nodes that share a signature, are in different components and are not excluded by size and bitmap.
@@ -461,7 +487,7 @@ class _Join:
         Only nodes of components that a candidate pair touches and does not join are looked at again.
         """
         apart = _across(pairs, labels).select(F.explode(F.array("_cu", "_cv")).alias("component")).distinct()
-        named = _renamed(self.sets.select("node").distinct(), labels)
+        named = _renamed(self.heads, labels)
         nodes = materialise(named.join(apart, "component", "left_semi"))
         if nodes.isEmpty():
             return None
