@@ -97,45 +97,41 @@ def fingerprint(text: str) -> tuple[int, ...]:
     return tuple((bins[b] if (b := (place - 128) % 256) in bins else donor(place)) & 15 for place in range(256))
 
 
-def letter_gains(counts: dict, asked: list[str], order: int, shared: int, discount: float) -> dict[str, float]:
-    """Log-likelihood difference of words under two Kneser-Ney models of letters that share their low orders."""
-    grams = {(label, m): {} for label in (0, 1) for m in range(1, order + 1)}
-
-    def places(word):
-        padded = "\x02" * order + word + "\x03"
-        return [padded[: i + 1] for i in range(order, len(padded))]
-
-    for label, of in counts.items():
-        for word, n in of.items():
-            for upto in places(word):
-                for m in range(1, order + 1):
-                    g = grams[label, m]
-                    g[upto[-m:]] = g.get(upto[-m:], 0) + n
-    n, total, kinds = {}, {}, {}
-    for label in (0, 1):
-        for m in range(1, order + 1):
-            source = [{**grams[0, k], **grams[1, k]} if m <= shared else grams[label, k] for k in (m, min(m + 1, order))]
-            for g in source[0]:
-                kinds[label, m, g[:-1]] = kinds.get((label, m, g[:-1]), 0) + 1
-            longer = source[1]
-            for g, c in longer.items():
-                g, c = (g, c) if m == order else (g[1:], 1)
-                n[label, m, g] = n.get((label, m, g), 0) + c
-                total[label, m, g[:-1]] = total.get((label, m, g[:-1]), 0) + c
-    out = {}
-    for word in asked:
-        gain = 0.0
-        for upto in places(word):
-            for label in (0, 1):
-                p = 1 / 1024
-                for m in range(1, order + 1):
-                    g = upto[-m:]
-                    t = total.get((label, m, g[:-1]), 0)
-                    if t:
-                        p = min(1.0, (max(n.get((label, m, g), 0) - discount, 0) + discount * min(kinds.get((label, m, g[:-1]), 0), t) * p) / t)
-                gain += math.log(max(p, 1e-12)) * (1 if label else -1)
-        out[word] = gain
-    return out
+def kneser_ney(sequences: dict[int, list], order: int, discounts, base) -> "callable":
+    """(context, symbol) -> log p(symbol | context, 1) - log p(symbol | context, 0) under plain recursive Kneser-Ney models.
+
+    `discounts` maps order to what n-grams counted once, twice and more often lose; `base(symbol, label)` lies below.
+    """
+    counts = {}
+    for label, of in sequences.items():
+        grams = {}
+        for seq in of:
+            padded = [None] * (order - 1) + list(seq)
+            for at in range(order - 1, len(padded)):
+                gram = tuple(padded[at - order + 1 : at + 1])
+                grams[gram] = grams.get(gram, 0) + 1
+        counts[label, order] = grams
+        for m in range(order - 1, 0, -1):
+            kinds = {}
+            for gram in counts[label, m + 1]:
+                kinds[gram[1:]] = kinds.get(gram[1:], 0) + 1
+            counts[label, m] = kinds
+    followers = {}
+    for (label, m), grams in counts.items():
+        for gram, n in grams.items():
+            followers.setdefault((label, gram[:-1]), []).append(n)
+
+    def p(label, context, symbol):
+        m = len(context) + 1
+        below = p(label, context[1:], symbol) if context else base(symbol, label)
+        of = followers.get((label, context))
+        if not of:
+            return below
+        lost = lambda n: discounts[m][min(n, 3) - 1] if n else 0.0
+        n = counts[label, m].get((*context, symbol), 0)
+        return (n - lost(n)) / sum(of) + sum(map(lost, of)) / sum(of) * below
+
+    return lambda context, symbol: math.log(p(1, context, symbol) / p(0, context, symbol))
 
 
 def license_places(words: list[str], templates: dict, index: dict, slack: int) -> list[tuple[str, int, float]]:

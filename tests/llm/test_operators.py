@@ -1,5 +1,6 @@
 """Operators on hand-made tables: whole results against plain versions, and the defined edge cases."""
 
+import math
 import random
 import string
 
@@ -233,26 +234,72 @@ def test_token_counts_equal_the_library(spark, odd, none):
     assert token_counts.count_tokens(none, path).count() == 0
 
 
-def test_toxicity_counts_have_no_floor_limit_or_buckets(spark):
-    rows = [(1, "real", 200), (0, "real", 5), (0, "plain", 300), (1, "plain", 1), (1, "once", 1), (0, "other", 700_000)]
-    rows += [(1, f"chance{i}", 4) for i in range(70_000)]
-    words = spark.createDataFrame(rows, "_label int, word string, n long")
-    own = {r["word"]: r["own"] for r in toxicity.word_evidence(words).collect()}
-    assert len(own) == 70_004 and own["real"] > own["chance7"] > own["once"] > 0 > own["plain"]
-
-
-def test_letter_evidence_equals_the_plain_version(spark):
+def test_word_models_equal_plain_kneser_ney(spark):
     r = random.Random(4)
-    counts = {label: {"".join(r.choices(string.ascii_lowercase + "éü日", k=2 + i % 9)): 1 + i % 3 for i in range(20_000)} for label in (0, 1)}
-    rows = [(label, w, n) for label, of in counts.items() for w, n in of.items()]
-    words = spark.createDataFrame(rows, "_label int, word string, n long")
-    asked = ["zzqxj", "é日", "a", *[w for _, w, _ in rows[:20]], *[w for _, w, _ in rows[-20:]]]
-    vocabulary = spark.createDataFrame([(w,) for w in set(asked)], "word string")
-    expected = plain.letter_gains(counts, asked, toxicity.ORDER, toxicity.SHARED_ORDER, toxicity.DISCOUNT)
-    got = {r["word"]: r for r in toxicity.letter_evidence(words, vocabulary).collect()}
-    assert set(got) == set(asked)
-    for w, gain in expected.items():
-        assert got[w]["letters"] == len(w) + 1 and abs(got[w]["gain"] / toxicity._UNIT - gain) < 1e-4, w
+    vocabulary = [*"abcdefghij", "éü", "日本", *[f"w{i}" for i in range(60)]]
+    texts = {label: [" ".join(r.choices(vocabulary[label * 8 :], k=r.randrange(0, 30))) for _ in range(150)] for label in (0, 1)}
+    taught = spark.createDataFrame([(label, t) for label, of in texts.items() for t in of], "_label int, _text string").repartition(5)
+    share = {w: (i + 1) / 1000 for i, w in enumerate(vocabulary)}
+    number = {w: int(h) for w, h in zip(vocabulary, toxicity._hashes([w.encode() for w in vocabulary]).view("int64"))}
+    base = spark.createDataFrame([(number[w], q, 2 * q) for w, q in share.items()], "gram long, q0 double, q1 double")
+    counted = taught.mapInArrow(toxicity._word_grams, toxicity._GRAM)
+    known = toxicity.Models(toxicity.models(counted, 3, base).toArrow(), 3)
+    each = counted.groupBy("_label", "m", "gram").agg(F.sum("n").alias("n"), F.min("shorter").alias("shorter"))
+    used = {3: toxicity.discounts(each.filter("m = 3"))}
+    for m in (2, 1):
+        used[m] = toxicity.discounts(each.filter(F.col("m") == m + 1).groupBy("_label", "shorter").agg(F.count(F.lit(1)).alias("n")))
+    split = {label: [t.split() for t in of] for label, of in texts.items()}
+    want = plain.kneser_ney(split, 3, used, lambda w, label: share.get(w, 0.5) * (1 + label))
+    asked = [*[" ".join(r.choices(vocabulary, k=12)) for _ in range(40)], *texts[0][:20], *texts[1][:20], "", "unseen a unseen", "a"]
+    lengths, places, new = toxicity.Words().read([t.encode() for t in asked])
+    hashes = toxicity._hashes(new)
+    own, gains = known.alone(hashes, math.log(2))
+    got = known.differences(lengths, hashes[places], own[places], gains[places])
+    expected = []
+    for t in asked:
+        words = [None, None, *t.split()]
+        expected += [want(tuple(words[i - 2 : i]), words[i]) for i in range(2, len(words))]
+    assert len(got) == len(expected) and max(abs(a - b) for a, b in zip(got, expected)) < 1e-6
+
+
+def test_letters_of_words_equal_plain_kneser_ney(spark):
+    r = random.Random(5)
+    texts = {label: [" ".join("".join(r.choices(string.ascii_lowercase[label * 6 :] + "éü日", k=2 + i % 7)) for i in range(20)) for _ in range(60)] for label in (0, 1)}
+    taught = spark.createDataFrame([(label, t) for label, of in texts.items() for t in of], "_label int, _text string").repartition(3)
+    order, counted = toxicity.LETTER_ORDER, taught.mapInArrow(toxicity._letter_grams, toxicity._GRAM)
+    known = toxicity.Models(toxicity.models(counted, order).toArrow(), order)
+    each = counted.groupBy("_label", "m", "gram").agg(F.sum("n").alias("n"), F.min("shorter").alias("shorter"))
+    used = {order: toxicity.discounts(each.filter(F.col("m") == order))}
+    for m in range(order - 1, 0, -1):
+        used[m] = toxicity.discounts(each.filter(F.col("m") == m + 1).groupBy("_label", "shorter").agg(F.count(F.lit(1)).alias("n")))
+    split = {label: [w + "\x03" for t in of for w in set(t.split())] for label, of in texts.items()}
+    want = plain.kneser_ney(split, order, used, lambda w, label: 1e-3)
+    asked = ["zzqxj", "é日", "a", "ñ", *texts[0][0].split(), *texts[1][0].split()]
+    for w, gain in zip(asked, known.of_words([w.encode() for w in asked])):
+        padded = [None] * (order - 1) + list(w + "\x03")
+        plainly = sum(want(tuple(padded[i - order + 1 : i]), padded[i]) for i in range(order - 1, len(padded)))
+        assert abs(gain - plainly) < 1e-6, w
+
+
+def test_shared_counts_are_of_texts(spark):
+    texts = ["A a b", "b c", "", "c c c", "zz"] * 7
+    df = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(4)
+    name = {int(h): w for w, h in zip(["a", "b", "c", "zz"], toxicity._hashes([b"a", b"b", b"c", b"zz"]).view("int64"))}
+    assert {name[r["key"]]: r["texts"] for r in toxicity.text_counts(df).collect()} == {"a": 7, "b": 14, "c": 14, "zz": 7}
+
+
+def test_word_order_alone_can_be_toxic(spark):
+    r = random.Random(6)
+    fill, rows = [f"w{i}" for i in range(40)], []
+    for i in range(800):
+        words, pair = r.choices(fill, k=30), ["hand", "over"]
+        at = r.randrange(29)
+        words[at : at + 2] = pair if i % 2 else pair[::-1]
+        rows.append((i, " ".join(words), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.score_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).join(df, "doc_id").filter("held_out").collect()
+    ones, zeros = ([x["score"] for x in out if x["toxic"] == c] for c in (1, 0))
+    assert sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros)) > 0.95
 
 
 def test_one_row_of_each_component_stays(spark):
