@@ -243,7 +243,7 @@ def test_word_models_equal_plain_kneser_ney(spark):
     number = {w: int(h) for w, h in zip(vocabulary, toxicity._hashes([w.encode() for w in vocabulary]).view("int64"))}
     base = spark.createDataFrame([(number[w], q, 2 * q) for w, q in share.items()], "gram long, q0 double, q1 double")
     counted = taught.mapInArrow(toxicity._word_grams, toxicity._GRAM)
-    known = toxicity.Models(toxicity.models(counted, 3, base).toArrow(), 3)
+    known = toxicity.Models(toxicity.models(counted, 3, base), 3)
     each = counted.groupBy("_label", "m", "gram").agg(F.sum("n").alias("n"), F.min("shorter").alias("shorter"))
     used = {3: toxicity.discounts(each.filter("m = 3"))}
     for m in (2, 1):
@@ -267,7 +267,7 @@ def test_letters_of_words_equal_plain_kneser_ney(spark):
     texts = {label: [" ".join("".join(r.choices(string.ascii_lowercase[label * 6 :] + "éü日", k=2 + i % 7)) for i in range(20)) for _ in range(60)] for label in (0, 1)}
     taught = spark.createDataFrame([(label, t) for label, of in texts.items() for t in of], "_label int, _text string").repartition(3)
     order, counted = toxicity.LETTER_ORDER, taught.mapInArrow(toxicity._letter_grams, toxicity._GRAM)
-    known = toxicity.Models(toxicity.models(counted, order).toArrow(), order)
+    known = toxicity.Models(toxicity.models(counted, order), order)
     each = counted.groupBy("_label", "m", "gram").agg(F.sum("n").alias("n"), F.min("shorter").alias("shorter"))
     used = {order: toxicity.discounts(each.filter(F.col("m") == order))}
     for m in range(order - 1, 0, -1):
