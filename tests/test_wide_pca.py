@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (functions travel by value)
 from seqweave.operators import evaluation, reduction, wide_pca
@@ -42,3 +43,17 @@ def test_exact_signed_ranks_of_many_differences(spark):
     df = spark.createDataFrame([(float(v), 0.0) for v in rng.normal(0.03, 1.0, 250)], "a double, b double")
     exact, normal = (evaluation.wilcoxon_signed_rank(df, method=m).first() for m in ("exact", "normal"))
     assert exact.w == normal.w and 0 < exact.p_value < 1 and exact.p_value == pytest.approx(normal.p_value, abs=5e-3)
+
+
+def test_wide_vectors_are_made_once(spark):
+    """Whatever makes the vectors runs for their width and for the table, not once a product."""
+    made = spark.sparkContext.accumulator(0)
+
+    def vector(i):
+        made.add(1)
+        return [float((i * j) % 7) for j in range(1, 7)]
+
+    rows = spark.createDataFrame([(str(i), i) for i in range(50)], "key string, i int")
+    vectors = rows.select("key", F.udf(vector, "array<double>").asNondeterministic()("i").alias("vec"))
+    assert reduction.pca(vectors, 2, wide=4).vectors.count() == 50
+    assert made.value <= 150
