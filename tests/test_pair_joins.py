@@ -1,5 +1,5 @@
 from seqweave.operators import pairs as P
-from seqweave.operators import vector_agg
+from seqweave.operators import pooling, vector_agg
 
 
 def _data(spark):
@@ -26,3 +26,20 @@ def test_pairs_stay_where_they_are_when_vectors_are_few(spark, monkeypatch):
         assert rows[0] == rows[1] and len(rows[0]) == 780
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_model_rows_stay_where_they_are(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(str(i), j, [1.0]) for i in range(9) for j in range(12)], "key string, pos long, vec array<float>")
+        lengths = spark.createDataFrame([(str(i), i) for i in range(9)], "key string, length int")
+        small = pooling.slice_model_rows(rows, lengths)
+        assert "SortMergeJoin" not in _plan(small)
+        monkeypatch.setattr(vector_agg, "BROADCAST_BYTES", 64)
+        large = pooling.slice_model_rows(rows, lengths)
+        assert "SortMergeJoin" in _plan(large)
+        counts = [sorted(map(tuple, df.groupBy("key").count().collect())) for df in (small, large)]
+        assert counts[0] == counts[1] == [(str(i), i) for i in range(1, 9)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
