@@ -1,3 +1,7 @@
+from pyspark.sql.types import DoubleType
+
+from seqweave.functions.vectors import dot
+from seqweave.operators import pair_vectors
 from seqweave.operators import pairs as P
 from seqweave.operators import pooling, vector_agg
 
@@ -43,3 +47,22 @@ def test_model_rows_stay_where_they_are(spark, monkeypatch):
         assert counts[0] == counts[1] == [(str(i), i) for i in range(1, 9)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pairs_do_not_travel_with_many_vectors(spark, monkeypatch):
+    pairs, emb = _data(spark)
+    strangers = spark.createDataFrame([("1", "none", 0), ("none", "2", 1), (None, "3", 1)], pairs.schema)
+    asked = pairs.unionByName(strangers)
+    joined = {m: P.pair_features(asked, emb, m) for m in P.METHODS}
+    joined["dot"] = pair_vectors.pair_values(asked, emb, 3, "features", DoubleType(), dot, pair_vectors.dot_rows)
+    monkeypatch.setattr(vector_agg, "BROADCAST_BYTES", 64)
+    monkeypatch.setattr(pair_vectors, "BLOCK_BYTES", 700)
+    dealt = {m: P.pair_features(asked, emb, m) for m in P.METHODS}
+    dealt["dot"] = pair_vectors.pair_values(asked, emb, 3, "features", DoubleType(), dot, pair_vectors.dot_rows)
+    for method, few in joined.items():
+        many = dealt[method]
+        assert "Join" not in _plan(many) and many.dtypes == few.dtypes
+        rows = [sorted((r.p1, r.p2, r.label, r.features) for r in df.collect()) for df in (few, many)]
+        assert rows[0] == rows[1] and len(rows[0]) == 780
+    ragged = emb.unionByName(spark.createDataFrame([("99", [])], emb.schema))
+    assert "SortMergeJoin" in _plan(pair_vectors.pair_values(asked, ragged, 3, "features", DoubleType(), dot, pair_vectors.dot_rows))
