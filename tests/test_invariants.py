@@ -126,3 +126,31 @@ def test_communities_run_until_no_merge_gains(spark):
     assert all(1.0 - tot[a] * tot[b] / m2 <= 1e-9 for a, b in across)
     with pytest.raises(RuntimeError):
         community.communities(edges, max_rounds=1)
+
+
+@pytest.mark.parametrize("block_links, most_tables", [(None, 8), (1_500, None)])
+def test_nodes_of_a_dense_graph_settle_in_few_tables(spark, monkeypatch, block_links, most_tables):
+    """Nodes move one after the other inside a block, so a graph without structure takes few turns; in the end no node gains."""
+    draw, n = np.random.default_rng(5), 80
+    rows = [(i, j, float(draw.integers(1, 4))) for i in range(n) for j in range(i + 1, n) if draw.random() < 0.5]
+    tables, write = [], community.materialise
+    monkeypatch.setattr(community, "materialise", lambda df: tables.append(1) or write(df))
+    if block_links:
+        monkeypatch.setattr(community, "_BLOCK_LINKS", block_links)
+    edges = spark.createDataFrame(rows, "src long, dst long, w double")
+    m2 = 2.0 * sum(w for _, _, w in rows)
+    moved, before, after = community._local_moving(edges, m2, None, 42)
+    assert most_tables is None or len(tables) <= most_tables
+    found = {r["id"]: r["cluster"] for r in moved.collect()}
+    own, to = np.array([found[i] for i in range(n)]), np.zeros((n, n))
+    for a, b, w in rows:
+        to[a, found[b]] += w
+        to[b, found[a]] += w
+    k = to.sum(axis=1)
+    tot = np.bincount(own, k, n)
+    here = to[np.arange(n), own]
+    assert before < after == pytest.approx(here.sum() / m2 - ((tot / m2) ** 2).sum())
+    rest = np.tile(tot, (n, 1))
+    rest[np.arange(n), own] -= k
+    gain = np.where(to > 0, to - k[:, None] * rest / m2, -np.inf)
+    assert (gain.max(axis=1) <= here - k * rest[np.arange(n), own] / m2 + 1e-9).all()
