@@ -386,3 +386,27 @@ def test_license_places_equal_all_places(spark):
     assert got == {i: plain.license_places(held, license_scan.TEMPLATES, index, 8) for i, held in words.items()}
     assert "cc-by-4.0" in {p[0] for p in got[0]}
     assert set(header) <= {p[0] for places in got.values() for p in places}
+
+
+def test_models_of_toxicity_are_put_together_in_little_memory():
+    """The driver holds keys and values once: a model takes no multiple of its own size while it is built."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from seqweave.llm import toxicity
+
+    n = 1_000_000
+    hashes = np.random.default_rng(3).permutation(np.arange(1, n + 1) * 9_000_000_000_000)
+    backs = hashes[: n // 2] + np.where(np.arange(n // 2) % 2, 0, 1)  # one in two is a gram as well
+    gains, tables = np.arange(n) / 7.0, lambda k, v, name: [pa.table({"gram": pa.array(c), name: pa.array(x)}) for c, x in zip(np.split(k, 2), np.split(v, 2))]
+    given = tables(hashes, gains, "gain"), tables(backs, -np.arange(n // 2) / 3.0, "back")
+    tracemalloc.start()
+    model = toxicity.Models(given, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.15 * (model.keys.nbytes + model.gain.nbytes + model.back.nbytes)
+    assert len(model.keys) == n + n // 4 and (np.diff(model.keys.view(np.int64)) > 0).all()
+    assert (model.gain[model.find(hashes.view(np.uint64))] == gains).all()
+    assert (model.back[model.find(backs.view(np.uint64))] == -np.arange(n // 2) / 3.0).all()
+    assert np.isnan(model.gain).sum() == n // 4 and np.count_nonzero(model.back) == n // 2 - 1
