@@ -1,5 +1,7 @@
 """Properties of iterative and fitted operators."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from seqweave.operators import community, convs, evaluation, features, graph, la
 from seqweave.plans.embed import embed_records, hierarchical_embed
 from seqweave.plans.evaluate import cross_validate, report, sanity_eval
 from seqweave.plans.sequence_graph import build_graph
+from seqweave.session import materialise
 from seqweave.sources import synthetic
 
 
@@ -154,3 +157,16 @@ def test_nodes_of_a_dense_graph_settle_in_few_tables(spark, monkeypatch, block_l
     rest[np.arange(n), own] -= k
     gain = np.where(to > 0, to - k[:, None] * rest / m2, -np.inf)
     assert (gain.max(axis=1) <= here - k * rest[np.arange(n), own] / m2 + 1e-9).all()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Disk holds the table alone once it is written, and the session's own setting is as it was."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    known, before = shuffled(), spark.conf.get(setting)
+    table = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")))
+    deadline = time.time() + 10  # files go in the background
+    while shuffled() - known and time.time() < deadline:
+        time.sleep(0.1)
+    assert not shuffled() - known and spark.conf.get(setting) == before and table.count() == 7
