@@ -20,13 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqweave.llm.common import per_worker, whole_text
+from seqweave.llm.common import whole_text
 from seqweave.llm.components import connected_components
-from seqweave.llm.decontamination import WordIds
 from seqweave.session import materialise, release
 
 WORDS = 5
@@ -34,6 +34,7 @@ NUMERATOR, DENOMINATOR = 80, 100
 _RATIO = 1.5
 _FILTER_BITS = 24
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_TEXTS = 256  # texts taken from a batch at a time
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -41,19 +42,34 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_set(text: bytes, known: WordIds, words: int = WORDS) -> np.ndarray:
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
+def _texts(batch: pa.RecordBatch, which: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A few rows at a time, those of `which`, with their texts, so that a batch is not held twice."""
+    for at in range(0, batch.num_rows, _TEXTS):
+        rows = batch.slice(at, _TEXTS)
+        if which is not None:
+            rows = rows.filter(pa.array(which[at : at + _TEXTS]))
+        yield rows, rows.column("_text").cast(pa.binary()).to_pylist()
+
+
+def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     """Ascending distinct 64-bit hashes of the shingles; a shorter text is one shingle, one without words has none."""
     tokens = text.lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    ids = np.frombuffer(b"".join(map(xxhash.xxh64_digest, tokens)), ">u8").astype(np.uint64)
     width = min(words, len(ids))
     n = len(ids) - width + 1
     h = np.full(n, width, np.uint64) * _M1
     for k in range(width):
         h = (h ^ ids[k : k + n]) * _M1
         h ^= h >> np.uint64(32)
-    return np.unique(_mixed(h))
+    return _distinct(_mixed(h))
 
 
 def bands(size: int, ratio: float = _RATIO) -> list[tuple[int, int]]:
@@ -114,21 +130,16 @@ def parity_bitmap(elements: np.ndarray) -> np.ndarray:
     The number of bits is a power of two of at least twice the set's size; halves can be folded by XOR.
     """
     bits = max(64, 1 << int(2 * len(elements) - 1).bit_length())
-    at, n = np.unique((elements & np.uint64(bits - 1)).astype(np.int64), return_counts=True)
-    odd = np.zeros(bits, np.uint8)
-    odd[at[n % 2 == 1]] = 1
-    return np.packbits(odd, bitorder="little").view("<i8")
+    dealt = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((dealt & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, key and bitmap of each row's set."""
-    known: WordIds = per_worker("shingle words", WordIds)
-    import xxhash
-
-    for batch in batches:
+    for batch, texts in (part for whole in batches for part in _texts(whole)):
         n, keys, maps = [], [], []
-        for text in batch.column("_text").cast(pa.binary()).to_pylist():
-            s = shingle_set(text, known)
+        for text in texts:
+            s = shingle_set(text)
             n.append(len(s))
             keys.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
             maps.append(parity_bitmap(s) if len(s) else np.empty(0, np.int64))
@@ -146,15 +157,13 @@ def passes(nodes: np.ndarray, table: np.ndarray | None) -> np.ndarray:
 
 def _wanted(batches: Iterator[pa.RecordBatch], table) -> Iterator[tuple[int, np.ndarray]]:
     """(node, set) of the rows whose node passes the filter."""
-    known: WordIds = per_worker("shingle words", WordIds)
     bits = None if table is None else np.frombuffer(table.value, np.uint8)
     for batch in batches:
-        nodes = batch.column("node").to_numpy()
-        passed = batch.filter(pa.array(passes(nodes, bits)))
-        for node, text in zip(passed.column("node").to_pylist(), passed.column("_text").cast(pa.binary()).to_pylist()):
-            s = shingle_set(text, known)
-            if len(s):
-                yield node, s
+        for rows, texts in _texts(batch, passes(batch.column("node").to_numpy(), bits)):
+            for node, text in zip(rows.column("node").to_pylist(), texts):
+                s = shingle_set(text)
+                if len(s):
+                    yield node, s
 
 
 def _close_pairs(node: np.ndarray, component: np.ndarray, size: np.ndarray, block: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:

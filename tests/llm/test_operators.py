@@ -3,8 +3,10 @@
 import math
 import random
 import string
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -410,3 +412,16 @@ def test_models_of_toxicity_are_put_together_in_little_memory():
     assert (model.gain[model.find(hashes.view(np.uint64))] == gains).all()
     assert (model.back[model.find(backs.view(np.uint64))] == -np.arange(n // 2) / 3.0).all()
     assert np.isnan(model.gain).sum() == n // 4 and np.count_nonzero(model.back) == n // 2 - 1
+
+
+def test_a_join_task_holds_few_texts_at_a_time():
+    """Beside its batch of texts a task keeps neither all of them once more nor the words it has met."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"_id": range(3000), "node": range(3000), "_text": texts})
+    del texts
+    for rows in (jaccard_join._set_rows, jaccard_join._signature_rows(2, None)):
+        tracemalloc.start()
+        n = sum(len(out) for out in rows(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n >= 3000 and peak < 20e6
