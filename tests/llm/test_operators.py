@@ -304,6 +304,29 @@ def test_word_order_alone_can_be_toxic(spark):
     assert sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros)) > 0.95
 
 
+def test_every_labelled_row_teaches_toxicity(spark):
+    """A word that only one labelled text of a class holds tells its class, however many labelled texts there are."""
+    r = random.Random(8)
+    name = lambda: "".join(r.choices("abcdefghij", k=9))
+    own = [name() for _ in range(4000)]
+    text = lambda i: f"{own[i % 4000]} and {own[i % 4000]} or {own[i % 4000]}"
+    df = spark.createDataFrame([(i, text(i), (i % 4000) % 2) for i in range(8000)], "doc_id long, text string, toxic int")
+    out = {x["doc_id"]: x for x in toxicity.score_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    asked = [(x["predicted"], i % 2) for i, x in out.items() if x["held_out"] and not out[(i + 4000) % 8000]["held_out"]]
+    assert sum(predicted == label for predicted, label in asked) > 0.85 * len(asked)
+
+
+def test_dealt_out_models_of_toxicity_judge_as_repeated_ones(spark, odd, monkeypatch):
+    rows = [(i, sentence(i, 30) + (" vile wortox" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(240)]
+    rows += [(None, sentence(1, 20), 0), (7, sentence(3, 20), 0), (999, None, 1), (1000, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    score = lambda: sorted(map(tuple, toxicity.score_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).select(F.coalesce("doc_id", F.lit(-1)), "held_out", F.round("score", 8), "predicted").collect()))
+    repeated = score()
+    monkeypatch.setattr(toxicity, "_REPEATED_GRAMS", 0)
+    monkeypatch.setattr(toxicity, "_GROUP_BYTES", 4000)
+    assert score() == repeated and len(repeated) == len(rows)
+
+
 def test_one_row_of_each_component_stays(spark):
     same, other, lone = sentence(900, 60), sentence(901, 60), sentence(902, 60)
     near = " ".join([*same.split()[:-1], "changed"])
