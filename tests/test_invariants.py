@@ -159,6 +159,26 @@ def test_nodes_of_a_dense_graph_settle_in_few_tables(spark, monkeypatch, block_l
     assert (gain.max(axis=1) <= here - k * rest[np.arange(n), own] / m2 + 1e-9).all()
 
 
+def test_a_graph_of_several_blocks_is_searched_whole(spark, monkeypatch):
+    """Up to `_WHOLE_LINKS` links few tables settle a graph that several blocks would share, as one block does."""
+    draw, n = np.random.default_rng(5), 80
+    rows = [(i, j, float(draw.integers(1, 4))) for i in range(n) for j in range(i, n) if draw.random() < 0.5]
+    edges = spark.createDataFrame(rows, "src long, dst long, w double")
+    m2 = 2.0 * sum(w for _, _, w in rows)
+    tables, write = [], community.materialise
+    monkeypatch.setattr(community, "materialise", lambda df: tables.append(1) or write(df))
+    monkeypatch.setattr(community, "_BLOCK_LINKS", 1_500)
+    moved, before, after = community._local_moving(edges, m2, None, 42)
+    assert len(tables) <= 8
+    monkeypatch.setattr(community, "_WHOLE_LINKS", 0)
+    monkeypatch.setattr(community, "_BLOCK_LINKS", 1 << 21)
+    block, start, end = community._local_moving(edges, m2, None, 42)
+    assert sorted(moved.collect()) == sorted(block.collect()) and (before, after) == pytest.approx((start, end))
+    monkeypatch.setattr(community, "_BLOCK_LINKS", 1_500)
+    _, start, end = community._local_moving(edges, m2, None, 42)
+    assert before == pytest.approx(start) and end > start
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     """Disk holds the table alone once it is written, and the session's own setting is as it was."""
     blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
