@@ -10,6 +10,8 @@ from seqweave.operators.features import DirectedLayer
 from seqweave.plans.sequence_graph import level_graph
 from seqweave.session import materialise
 
+LONGEST = 1 << 24  # characters of a record that one task pools
+
 
 def hierarchical_embed(
     vocab: DataFrame, edges: DataFrame, max_n: int, dims: list[int], seed: int = 42
@@ -43,7 +45,8 @@ def embed_records(seqs: DataFrame, level: DataFrame, n: int, weighting: str = "d
     from seqweave.operators.ids import apply_id_map
 
     latest = pooling.latest_records(seqs)
-    pooled = pooling.pool_ngrams(latest, level.select("ngram", "vec"), n, weighting)
+    longest = seqs.agg(F.max(F.length("seq"))).first()[0] or 0
+    pooled = pooling.pool_ngrams(latest, level.select("ngram", "vec"), n, weighting, together=longest <= LONGEST)
     named = pooled.join(latest.select("id", F.col("seq_ord").alias("ord")), "id").withColumnRenamed("id", "key")
     if id_map is None:
         return named.select("key", "vec")
