@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql.types import DoubleType
 
 from seqweave.functions.vectors import dot
@@ -49,6 +50,43 @@ def test_model_rows_stay_where_they_are(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_model_rows_meet_many_lengths_without_a_shuffle(spark, monkeypatch):
+    """Beyond the lengths that are repeated as rows, hashes of the keys find them; keys that repeat are joined."""
+    data = [(str(i) if i else None, j, [1.0, float(j)]) for i in range(9) for j in range(12)] + [("stranger", 1, [2.0, 2.0])]
+    rows = spark.createDataFrame(data, "key string, pos long, vec array<float>")
+    lengths = spark.createDataFrame([*((str(i), i) for i in range(1, 9)), (None, 3)], "key string, length int")
+    twice = lengths.unionByName(lengths.filter("key = '2'"))
+    taken = lambda found: sorted((r.key, r.pos, r.vec) for df in [found] for r in df.collect())
+    for given in (lengths, twice, lengths.filter("length > 90")):
+        for first in (True, False):
+            monkeypatch.setattr(vector_agg, "BROADCAST_BYTES", 1 << 20)
+            few = taken(pooling.slice_model_rows(rows, given, first))
+            monkeypatch.setattr(vector_agg, "BROADCAST_BYTES", 20 * 8)
+            many = pooling.slice_model_rows(rows, given, first)
+            assert taken(many) == few
+            assert given is not lengths or "Join" not in _plan(many)
+
+
+def test_batches_of_a_model_give_a_row_per_token(spark):
+    """Matrices of several widths and lengths, empty ones too, keep their rows in order."""
+    model = lambda: lambda texts: [np.arange(n * w, dtype=float).reshape(n, w) for n, w in ((len(t.split()) - 1, 1 + len(t.split()) % 2) for t in texts)]
+    seqs = spark.createDataFrame([("a", "A"), ("b", "ACD"), ("c", ""), (None, "ACDE"), ("b", "AC")], "id string, seq string").coalesce(1)
+    found = pooling.batch_infer(seqs, model, batch_size=2)
+    rows = [(r.id, r.pos, r.vec) for r in found.collect()]
+    assert rows == [("b", 0, [0.0, 1.0]), ("b", 1, [2.0, 3.0]), (None, 0, [0.0]), (None, 1, [1.0]), (None, 2, [2.0]), ("b", 0, [0.0])]
+    assert found.dtypes == [("id", "string"), ("pos", "bigint"), ("vec", "array<float>")]
+
+
+def test_records_pooled_in_one_task_move_no_ngrams(spark):
+    seqs = spark.createDataFrame([(str(i % 7), "ACDEFGHIK"[i % 5 :] * 3) for i in range(21)], "id string, seq string")
+    vectors = spark.createDataFrame([(a + b, [float(i), float(j)]) for i, a in enumerate("ACDEFGHIK") for j, b in enumerate("ACDEFGHIK")], "ngram string, vec array<double>")
+    for weighting in ("distinct", "occurrence"):
+        apart = pooling.pool_ngrams(seqs, vectors, 2, weighting)
+        whole = pooling.pool_ngrams(seqs, vectors, 2, weighting, together=True)
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, apart.collect()))
+        assert _plan(whole).count("Exchange hash") == 1
+
+
 def test_pairs_do_not_travel_with_many_vectors(spark, monkeypatch):
     pairs, emb = _data(spark)
     strangers = spark.createDataFrame([("1", "none", 0), ("none", "2", 1), (None, "3", 1)], pairs.schema)
