@@ -2,9 +2,12 @@ import numpy as np
 from pyspark.sql.types import DoubleType
 
 from seqweave.functions.vectors import dot
+from seqweave.operators import evaluation as E
 from seqweave.operators import pair_vectors
 from seqweave.operators import pairs as P
 from seqweave.operators import pooling, vector_agg
+from seqweave.operators import splits as S
+from seqweave.plans import evaluate
 
 
 def _data(spark):
@@ -104,3 +107,44 @@ def test_pairs_do_not_travel_with_many_vectors(spark, monkeypatch):
         assert rows[0] == rows[1] and len(rows[0]) == 780
     ragged = emb.unionByName(spark.createDataFrame([("99", [])], emb.schema))
     assert "SortMergeJoin" in _plan(pair_vectors.pair_values(asked, ragged, 3, "features", DoubleType(), dot, pair_vectors.dot_rows))
+
+
+def test_kept_features_are_made_from_cells(spark, monkeypatch):
+    """Pairs and vectors stay in cells of their own; what is read from them equals the joined features."""
+    pairs, emb = _data(spark)
+    strangers = spark.createDataFrame([("1", "none", 0), ("none", "2", 1), (None, "3", 1)], pairs.schema)
+    asked = pairs.unionByName(strangers)
+    monkeypatch.setattr(pair_vectors, "LEAST_PAIRS", 60)
+    for block_bytes in (1 << 26, 700):
+        monkeypatch.setattr(pair_vectors, "BLOCK_BYTES", block_bytes)
+        for method in P.METHODS:
+            kept = P.pair_features(asked, emb, method, keep=True)
+            joined = P.pair_features(asked, emb, method)
+            assert kept.dtypes == joined.dtypes
+            rows = [sorted((r.p1, r.p2, r.label, r.features) for r in df.collect()) for df in (kept, joined)]
+            assert rows[0] == rows[1] and len(rows[0]) == 780
+            kept._made[0].unpersist()
+    twice = emb.unionByName(emb.filter("key = '3'"))
+    rows = [sorted((r.p1, r.p2, r.features) for r in df.collect()) for df in (P.pair_features(pairs, twice, "hadamard", keep=True), P.pair_features(pairs, twice, "hadamard"))]
+    assert rows[0] == rows[1] and len(rows[0]) == 780 + 39
+    assert P.pair_features(pairs, emb.limit(0), "hadamard", 3, keep=True).count() == 0
+    assert P.pair_features(pairs.limit(0), emb, "hadamard", keep=True).count() == 0
+
+
+def test_cross_validation_and_classifiers_write_no_features(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    emb = spark.createDataFrame([(str(i), draw.normal(size=4).tolist()) for i in range(60)], "key string, vec array<double>")
+    pairs = spark.createDataFrame([(str(i), str(j), int((i + j) % 3 == 0)) for i in range(60) for j in range(i)], "p1 string, p2 string, label int")
+    written = []
+    for module in (pair_vectors, evaluate):
+        monkeypatch.setattr(module, "materialise", lambda df, write=module.materialise: written.append(df.columns) or write(df))
+    metrics, _ = evaluate.cross_validate(pairs, {"v": emb}, 3, "hadamard", max_iter=5)
+    assert metrics.count() > 0 and written and not [c for c in written if "features" in c]
+    data = P.pair_features(pairs, emb, "hadamard", keep=True)
+    weights = S.class_weights(data)
+    held = E.predict_proba(E.fit_pair_classifier(data, weights), data)
+    monkeypatch.setattr(E, "_HELD_BYTES", 0)
+    scanned = E.predict_proba(E.fit_pair_classifier(data, weights), data)
+    assert held.dtypes == scanned.dtypes
+    both = held.join(scanned.withColumnRenamed("score", "other"), ["p1", "p2", "label"])
+    assert both.count() == 1770 and both.filter("abs(score - other) > 1e-3").isEmpty()
