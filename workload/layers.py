@@ -335,7 +335,8 @@ def convolution_models(spark, sf):
     es, ns, x = materialise(edges(spark, sf)), nodes(spark, sf), materialise(vectors(spark, sf))
     out = None
     for name in convs.MODELS:
-        h = convs.run_model(convs.ZooModel(name, [DIM, 8, 4], heads=2), es, ns, x)
+        # one model at a time: in one plan the driver would hold the repeated tables of all of them
+        h = materialise(convs.run_model(convs.ZooModel(name, [DIM, 8, 4], heads=2), es, ns, x))
         tagged = cells(h, "id").withColumn("model", F.lit(name))
         out = tagged if out is None else out.unionByName(tagged)
     return out
